@@ -1,0 +1,63 @@
+"""The corpus pipeline: documents in, token blocks out.
+
+Every stage takes (spark, docs, sf_dir), works on all documents that its predecessor
+kept and returns a frame that ``run`` writes as Parquet and reads again. All but the
+last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import decontam, mixing, simhash, token_io, toxicity
+from millrace.llm.base import load, staged
+
+#: Shares of the corpus: each leaf is read at most once, so this stage selects and never repeats.
+MIX = mixing.Plan(share_percent=80, max_epochs=1)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose noisy-or toxicity reaches the threshold."""
+    return toxicity.reject_toxic(docs, load(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each SimHash group."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item, other numbers and names included."""
+    return decontam.clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Selects documents to the target weights of ``MIX``."""
+    return mixing.mixed(docs, MIX)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token blocks and returns what they hold, a row a document."""
+    return token_io.round_trip(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("token_ids", encode),
+]
+
+#: Learned models, fingerprints and a tokenizer are beyond SQL; tests compare with plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each result written and read again."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
