@@ -90,7 +90,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, _text, pos, hash and first of every chunk whose hash occurs more than once."""
-    found = with_chunks(_keyed(docs)).select("doc_id", "_text", F.posexplode("chunks").alias("pos", "chunk"))
+    # The outer form: before a plain one the optimiser puts a filter that computes the chunks again.
+    found = with_chunks(_keyed(docs)).select("doc_id", "_text", F.posexplode_outer("chunks").alias("pos", "chunk"))
     found = found.where(_counts(F.col("chunk"))).select("doc_id", "_text", "pos", F.xxhash64("chunk").alias("hash"))
     found = staged(found, "line-chunks")
     place = F.struct("doc_id", "_text", "pos")
@@ -114,7 +115,7 @@ def _apart(marked: DataFrame) -> DataFrame:
     wanted = F.zip_with("chunks", _flags(at), lambda c, f: F.when(f, c))
     wanted = F.filter(wanted, lambda c: c.isNotNull())
     zipped = F.zip_with(wanted, "found", lambda c, f: F.struct(f["pos"].alias("pos"), f["hash"].alias("hash"), c.alias("chunk")))
-    return rows.select("doc_id", "_text", F.explode(zipped).alias("c")).select("doc_id", "_text", "c.*")
+    return rows.select("doc_id", "_text", F.explode_outer(zipped).alias("c")).select("doc_id", "_text", "c.*").where("chunk is not null")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
