@@ -14,6 +14,10 @@ from pyspark.sql.types import StructType
 from millrace.session import importable
 
 
+#: Rows of a batch that are Python objects at a time.
+ROWS = 512
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder, read through Spark alone."""
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +63,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
 
 
+def values(column: pa.Array) -> list:
+    """A column as Python objects; strings go the faster way through numpy."""
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list], list[tuple]]],
@@ -67,16 +76,16 @@ def map_texts(
 ) -> DataFrame:
     """Row-wise work in Arrow batches: rows of ``keys`` in, rows of ``schema`` out.
 
-    ``make`` runs once a task and returns the function from a batch's rows (tuples
-    in the order of ``keys``) to output tuples; memory is bounded by a batch.
+    ``make`` runs once a task and returns the function from some rows (tuples in the
+    order of ``keys``) to output tuples; it gets at most ``ROWS`` rows at a time.
     """
     source = df.select(*keys)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            rows = work(list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)))
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            rows = work(list(zip(*map(values, part.columns), strict=True)))
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -93,6 +102,6 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accept = make()
         for batch in batches:
-            yield batch.filter(pa.array(accept(batch.column(at).to_pylist()), type=pa.bool_()))
+            yield batch.filter(pa.array(accept(values(batch.column(at))), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

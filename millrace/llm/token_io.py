@@ -4,12 +4,12 @@ Writing takes three steps, each from a stored table, so that a lost executor cos
 a task and no text is tokenised twice:
 
 1. Every whole text is tokenised and closed with ``END_ID``. Texts are cut at spaces
-   and line feeds; the tokenizer never joins across them, so each distinct piece is
-   encoded once and kept in a bounded cache.
+   and line feeds; the tokenizer never joins across them, so the ids of the pieces are
+   kept in a bounded cache.
 2. Ids are counted over all documents and ranked, the most frequent first.
 3. Ranks are written in blocks: a control byte holds the byte lengths (1 to 4, two
-   bits each) of four ranks, data bytes hold the ranks in little-endian order. The
-   documents are range-partitioned by doc_id, so that parts and blocks ascend.
+   bits each) of four ranks, data bytes hold the ranks in little-endian order. Parts
+   are ranges of doc_id, whose bounds come from the ids alone; blocks ascend in a part.
 
 The container of the blocks is Parquet with one block a row (part, block, docs' ids
 and lengths, control, data), which any store that Spark reaches can commit and read.
@@ -22,59 +22,127 @@ gives no blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import discard, map_texts, staged
+from millrace.llm.base import discard, staged
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Pieces that one generation of a worker's cache holds; two generations live at a time.
-CACHED = 200_000
+#: Entries of one generation of a worker's cache of words.
+CACHED = 120_000
+#: Documents that are cut into pieces at a time.
+ROWS = 2_000
 #: Tokens after which a block ends; a document is never split.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 
 #: Lengths of the four values of each control byte.
-LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.int64)
+LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
+
+
+class Generations(dict):
+    """A cache that computes what it lacks; two generations of up to CACHED entries live at a time."""
+
+    def __init__(self, compute: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: which letter stands for each byte that is not printable in Latin-1."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {byte: 256 + n for n, byte in enumerate(b for b in range(256) if b not in plain)}
 
 
 class PieceEncoder:
-    """Ids of whole texts as bytes of little-endian 16- or 32-bit numbers, with a bounded cache of pieces."""
+    """Ids of whole texts, by way of their distinct pieces.
+
+    A piece of Latin letters, digits and common marks is cut as the tokenizer cuts it
+    (runs of letters, single digits, runs of marks), and its words go to the tokenizer's
+    model at once. All other pieces take the tokenizer's whole way.
+    """
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.young[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        unknown = set(pieces).difference(self.young)
-        if unknown:
-            if len(self.young) > CACHED:
-                self.old, self.young = self.young, {}
-                unknown = set(pieces)
-            again = {p: self.old[p] for p in unknown if p in self.old}
-            self.young |= again
-            if len(again) < len(unknown):
-                self._learn([p for p in unknown if p not in again])
-        return b"".join(map(self.young.__getitem__, pieces)) + self.end
+        self.end = end_id
+        self.letters = _byte_letters()
+        self.words = Generations(self._word)
+        self.shortcut = all(self._cut(p) == self._whole(p) for p in PROBES)
+
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(letters)], dtype=self.dtype).tobytes()
+
+    def _cut(self, piece: str) -> bytes:
+        return b"".join([self.words[w] for w in _WORDS.findall(piece.lower())])
+
+    def piece(self, piece: str) -> bytes:
+        if not self.shortcut:
+            return self._whole(piece)
+        if piece.isalpha() and (piece.isascii() or _LETTERS.fullmatch(piece)):
+            return self.words[piece.lower()]
+        word = piece[:-1]
+        if piece[-1:] in ENDS and word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+            return self.words[word.lower()] + self.words[piece[-1]]
+        return self._cut(piece) if _COMMON.fullmatch(piece) else self._whole(piece)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with the end id, and their numbers."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        pieces = lists.flatten().dictionary_encode()
+        coded = [self.piece(p) for p in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        size = np.array([len(c) for c in coded], dtype=np.int64) // self.dtype.itemsize
+        table, first = np.frombuffer(b"".join(coded), dtype=self.dtype), np.cumsum(size) - size
+        codes = pieces.indices.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size[codes])])
+        ends = upto[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        ids = np.empty(upto[-1], dtype=self.dtype)
+        for at in range(0, len(codes), STEP):
+            part = codes[at : at + STEP]
+            a, b = upto[at], upto[min(len(codes), at + STEP)]
+            ids[a:b] = table[np.repeat(first[part] - upto[at : at + len(part)], size[part]) + np.arange(a, b)]
+        return np.insert(ids, ends, self.end), np.diff(ends, prepend=0) + 1
+
+
+#: Pieces whose ids are put together at a time.
+STEP = 1 << 18
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"
+ENDS = {",", ".", "!", "?", ";", ":"}
+_LETTERS = re.compile(f"[{_LATIN}]+")
+_COMMON = re.compile(f"[{_LATIN}0-9{_MARKS}]+")
+_WORDS = re.compile(f"[{_LATIN}]+|[0-9]|[{_MARKS}]+")
+#: The shortcut is taken only with a tokenizer that treats these alike on either way.
+PROBES = ["the", "Été", "über", "Straße", "ÿ", ",", "zqxjk", "a1b22", "x%%%", "(y)_z", "WH!!", "a.b,", "[~]^`{|}", "@#$&*+-/:;=>?"]
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -91,21 +159,42 @@ def _encoder(path: str, end_id: int) -> PieceEncoder:
     return _encoders[path, end_id]
 
 
+def _forget() -> None:
+    """Free the worker's encoder and its caches, when tokenising is over."""
+    _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (binary, numbers of ``id_type``) of each whole text, the end id included."""
+    """doc_id, tie (a hash of ids) and ids (binary, numbers of ``id_type``, with the end id) of each whole text."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def make():
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path, end_id)
-        return lambda rows: [(i, coder.encode(t)) for i, t in rows]
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            ids, counts = coder.encode(part.column(1))
+            ends = np.concatenate([[0], np.cumsum(counts * ids.itemsize)]).astype(np.int64)
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([part.column(0), data.cast(pa.binary())], names=["doc_id", "ids"])
 
-    return map_texts(docs, make, "doc_id long, ids binary")
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return found.select("doc_id", F.xxhash64("ids").alias("tie"), "ids")
+
+
+def bounds(keys: DataFrame) -> list[tuple[int, int]]:
+    """Greatest (doc_id, tie) of each of as many ranges as the session has shuffle partitions, a null id lowest."""
+    low = -(1 << 63)
+    ranged = keys.select(F.coalesce("doc_id", F.lit(low)).alias("id"), "tie").repartitionByRange("id", "tie")
+    tops = ranged.groupBy(F.spark_partition_id()).agg(F.max(F.struct("id", "tie")).alias("top"))
+    return sorted((r.top.id, r.top.tie) for r in tops.collect())[:-1]
 
 
 def frequencies(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     """id and n of every id that occurs."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             part = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype))
@@ -118,25 +207,28 @@ def frequencies(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _padding(counts: np.ndarray) -> np.ndarray:
+    """Places, among all documents' values, before which an unused slot closes a control byte."""
+    return np.repeat(np.cumsum(counts), -counts % 4)
+
+
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Control and data bytes of each document; ``counts`` are the documents' numbers of ranks."""
-    ranks = ranks.astype(np.uint32)
-    size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    # Documents begin at a control byte of their own.
-    slots = (counts + 3) // 4 * 4
-    shift = np.repeat(np.cumsum(slots) - slots - (np.cumsum(counts) - counts), counts)
-    codes = np.zeros(int(slots.sum()), dtype=np.uint8)
-    codes[np.arange(len(ranks)) + shift] = size - 1
-    codes = codes.reshape(-1, 4)
-    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8).tobytes()
-    ends = np.cumsum(size)
-    data = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    for k in range(4):
-        has = size > k
-        data[(ends - size)[has] + k] = ranks[has] >> (8 * k) & 0xFF
-    data, doc_ends = data.tobytes(), np.concatenate([[0], np.cumsum(counts)])
-    bounds = np.concatenate([[0], ends])[doc_ends].tolist()
-    cuts = np.concatenate([[0], np.cumsum(slots // 4)]).tolist()
+    """Control and data bytes of each document; ``counts`` are the documents' numbers of ranks.
+
+    Documents begin at a control byte of their own.
+    """
+    ranks = ranks.astype("<u4")
+    longest = (int(ranks.max(initial=0)).bit_length() + 7) // 8 or 1
+    codes = np.zeros(len(ranks), dtype=np.uint8)
+    for k in range(1, longest):
+        codes += ranks >= 1 << 8 * k
+    slots = np.insert(codes, _padding(counts), 0).reshape(-1, 4)
+    control = (slots[:, 0] | slots[:, 1] << 2 | slots[:, 2] << 4 | slots[:, 3] << 6).tobytes()
+    bytes_of = ranks.view(np.uint8).reshape(-1, 4)[:, :longest]
+    data = bytes_of[np.arange(longest, dtype=np.uint8) <= codes[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    bounds = (ends + np.concatenate([[0], np.cumsum(codes, dtype=np.int64)])[ends]).tolist()
+    cuts = np.concatenate([[0], np.cumsum((counts + 3) // 4)]).tolist()
     return (
         [control[a:b] for a, b in zip(cuts, cuts[1:], strict=False)],
         [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)],
@@ -146,40 +238,45 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes
 def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     """The ranks that ``pack`` coded, of all documents one after another."""
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)
-    slots = (counts + 3) // 4 * 4
-    used = np.arange(len(size)) - np.repeat(np.cumsum(slots) - slots, slots) < np.repeat(counts, slots)
-    size = size[used]
-    start = np.cumsum(size) - size
-    raw = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(3, dtype=np.uint8)])
-    out = raw[start].astype(np.uint32)
-    for k in range(1, 4):
-        has = size > k
-        out[has] |= raw[start[has] + k].astype(np.uint32) << (8 * k)
-    return out
-
-
-def _coded(tokens: DataFrame, rank_of: np.ndarray, dtype: np.dtype) -> DataFrame:
+    pads = _padding(counts)
+    size = np.delete(size, pads + np.arange(len(pads)))
+    longest = int(size.max(initial=1))
+    out = np.zeros((len(size), 4), dtype=np.uint8)
+    held = out[:, :longest]
+    held[np.arange(longest, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
+    return out.view("<u4").reshape(-1)
+
+
+def _coded(tokens: DataFrame, rank_of: np.ndarray, dtype: np.dtype, tops: list[tuple[int, int]]) -> DataFrame:
+    low = -(1 << 63)
+
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids = batch.column(1).to_pylist()
+                ids = batch.column(2).to_pylist()
                 counts = np.array([len(x) // dtype.itemsize for x in ids], dtype=np.int64)
                 control, data = pack(rank_of[np.frombuffer(b"".join(ids), dtype=dtype)], counts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                    names=["doc_id", "n", "control", "data"],
-                )
+                keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                part = [bisect_left(tops, (low if i is None else i, t)) for i, t in keys]
+                columns = [
+                    pa.array(part, pa.int32()),
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(counts),
+                    pa.array(control, pa.binary()),
+                    pa.array(data, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "tie", "n", "control", "data"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(code, "doc_id long, n long, control binary, data binary")
+    return tokens.mapInArrow(code, "part int, doc_id long, tie long, n long, control binary, data binary")
 
 
 BLOCK_SCHEMA = "part int, block int, start long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, block, start = TaskContext.get().partitionId(), 0, 0
+    part, block, start, tokens = -1, 0, 0, 0
     rows: list[tuple] = []
-    tokens = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal block, start, tokens, rows
@@ -200,7 +297,11 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for of, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if of != part:
+                if rows:
+                    yield flush()
+                part, block, start = of, 0, 0
             rows.append(row)
             tokens += row[1]
             if tokens >= BLOCK_TOKENS:
@@ -221,12 +322,12 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tup
     spark = docs.sparkSession
     book = staged(spark.createDataFrame(list(enumerate(ids.tolist())), "rank int, id long").coalesce(1), "token-book")
     ordered = (
-        _coded(tokens, rank_of, dtype)
-        .withColumn("tie", F.xxhash64("control", "data"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie", "control", "data")
+        _coded(tokens, rank_of, dtype, bounds(tokens.select("doc_id", "tie")))
+        .repartition("part")
+        .sortWithinPartitions("part", "doc_id", "tie", "control", "data")
+        .drop("tie")
     )
-    blocks = staged(ordered.drop("tie").mapInArrow(_blocks, BLOCK_SCHEMA), "token-blocks")
+    blocks = staged(ordered.mapInArrow(_blocks, BLOCK_SCHEMA), "token-blocks")
     discard(tokens)
     return blocks, book
 
@@ -237,9 +338,8 @@ def read(blocks: DataFrame, book: DataFrame) -> DataFrame:
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, start, doc_ids, lengths, control, data in zip(
-                *(batch.column(i).to_pylist() for i in range(6)), strict=True
-            ):
+            for block in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                part, start, doc_ids, lengths, control, data = (c[0].as_py() for c in block.columns)
                 counts = np.array(lengths, dtype=np.int64)
                 ends = np.cumsum(counts)
                 raw = memoryview(ids_of[unpack(control, data, counts)].tobytes())
