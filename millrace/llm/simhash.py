@@ -16,6 +16,12 @@ A fingerprint has 64 bits; two link at ``RADIUS`` = 2 or fewer differing bits.
 * Groups that meet in several shards are joined by alternating large-star and
   small-star steps over DataFrames, each step cut by ``checkpoint()``.
 
+``keep_one`` goes further than these groups: documents whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more are near-duplicates, too. Their SimHashes
+differ in 15 % of their bits, too many for shards of equal blocks, so shards of texts with
+a common rare segment (see ``sketch``) go through BK-trees, and each text's nearest
+there is held against it word by word. Only verified links join groups.
+
 Defined cases: a null or blank text has fingerprint zero, and zero links like any
 other; repeated rows stay repeated and share a group; a null doc_id belongs to its
 group but never names it; other columns of the input are ignored.
@@ -30,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -41,6 +47,17 @@ SEED = 42
 SHINGLE = 3
 #: Fingerprints of a shard beyond which it is dealt again by 16 more bits.
 SPLIT = 512
+#: Similarity on word shingles of this many words that makes documents near-duplicates beyond the contract's bits.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of the wide fingerprint that such documents are compared by, and the bits in which they may differ
+#: (at a similarity of 0.8 the expectation is 39 of 256 bits, the deviation 5.7).
+WIDE, NEAR_RADIUS = 4, 50
+#: Bits within which texts of a shard are taken for one class (at 0.84 the expectation).
+SURE = 32
+#: Segment ends, and the lengths between which texts have both kinds (a pair's lengths are within SIMILARITY).
+COARSE, FINE, SHORT = 16, 4, (64, 80)
+#: Texts of a shard that meet in one task.
+CHUNK = 2_048
 #: Shingles whose bits are counted at once, so that a long text needs little memory.
 BLOCK = 65_536
 
@@ -262,18 +279,203 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group: that of the least doc_id.
+# -- groups of similar documents -----------------------------------------------------
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hash of each word shingle; a shorter text is one shingle."""
+    if len(words) < shingle:
+        parts: Iterable[bytes] = [b" ".join(words)] if words else []
+    else:
+        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    raw = b"".join(map(partial(xxhash.xxh64_digest, seed=SEED), parts))
+    return np.frombuffer(raw, dtype=">u8").astype(np.uint64)
+
+
+def widened(hashes: np.ndarray) -> np.ndarray:
+    """Bits of each hash and of WIDE - 1 more that are mixed from it, a row a shingle."""
+    words = np.empty((len(hashes), WIDE), dtype=np.uint64)
+    words[:, 0] = mixed = hashes
+    for k in range(1, WIDE):
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        words[:, k] = mixed ^ (mixed >> np.uint64(29))
+    return np.unpackbits(words.astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
+
+
+def sketch(text: str | None) -> tuple[int, bytes, int, int, list[int]]:
+    """Contract fingerprint, wide five-word fingerprint, number of five-word shingles, text hash, segments.
+
+    Segments end at shingles whose hash ``COARSE`` divides, in texts of fewer than
+    ``SHORT[1]`` shingles also those that ``FINE`` divides; a segment is known by the
+    SimHash of its shingles. Texts between the bounds of SHORT have both kinds.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    hashes = shingle_hashes(words, NEAR_SHINGLE)
+    n = len(hashes)
+    ones, segments = np.zeros(64 * WIDE, dtype=np.int64), set()
+    for at in range(0, n, BLOCK // WIDE):  # a segment ends with its block
+        part = hashes[at : at + BLOCK // WIDE]
+        bits = widened(part)
+        ones += bits.sum(axis=0, dtype=np.int64)
+        for step in [FINE] * (n < SHORT[1]) + [COARSE] * (n >= SHORT[0]):
+            starts = np.concatenate([[0], np.flatnonzero(part[:-1] % np.uint64(step) == 0) + 1])
+            sums = np.add.reduceat(bits[:, :64], starts, axis=0, dtype=np.int64)
+            sizes = np.diff(starts, append=len(part))
+            segments.update(np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").ravel().tolist())
+    near = np.packbits(2 * ones > n).tobytes()
+    whole = xxhash.xxh64_intdigest(b" ".join(words), seed=1)
+    return signed(fingerprint(text)), near, n, signed(whole), sorted(map(signed, segments))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, near_fp, n, whole and segments of each row."""
+
+    def make():
+        return lambda rows: [(i, *sketch(t)) for i, t in rows]
+
+    return map_texts(docs, make, "doc_id long, fp long, near_fp binary, n long, whole long, segments array<long>")
+
+
+def candidate_links(texts: DataFrame) -> DataFrame:
+    """(a, b): texts (id, near_fp, n, segments) and the nearest in fingerprint of those with a common rare segment.
+
+    Of each text's segments, ordered by how many texts hold them, the rarest count: so
+    many that two texts with a third of their segments in common share a counted one.
+    A shard is what counts one segment. It goes through a BK-tree as ``nearest_links``
+    tells, with lengths in proportion. Shards above ``CHUNK`` are dealt as chunks against
+    chunks.
+    """
+    held = texts.select("id", "near_fp", "n", F.size("segments").alias("m"), F.explode("segments").alias("segment"))
+    held = staged(held, "simhash-held")
+    often = held.groupBy("segment").agg(F.count("*").alias("texts"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("texts", "segment"))
+    counted = held.join(often, "segment").withColumn("rank", rank)
+    counted = counted.where((F.col("rank") <= F.col("m") - F.ceil(F.col("m") / 3) + 1) & (F.col("texts") > 1))
+    chunks = F.ceil(F.col("texts") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    # Cell (i, j): trees of chunk i (role 1) against probes of chunk j (role 2); the diagonal has both (3).
+    numbers = F.sequence(F.lit(0), F.col("chunks") - 1)
+    cell = lambda i, j, role: F.struct((i * F.col("chunks") + j).alias("cell"), role.alias("role"))
+    trees = F.transform(numbers, lambda j: cell(F.col("own"), j, F.when(j == F.col("own"), 3).otherwise(1)))
+    probes = F.transform(F.filter(numbers, lambda i: i < F.col("own")), lambda i: cell(i, F.col("own"), F.lit(2)))
+    trees = F.filter(trees, lambda c: c["cell"] % F.col("chunks") >= F.col("own"))  # each pair of chunks meets once
+    dealt = counted.withColumn("chunks", chunks).withColumn("own", own)
+    dealt = dealt.select("segment", F.explode(F.concat(trees, probes)).alias("c"), "id", "near_fp", "n")
+    dealt = dealt.select("segment", "c.cell", "c.role", "id", "near_fp", "n").repartition("segment", "cell")
+    found = dealt.sortWithinPartitions("segment", "cell", "role", "id").mapInArrow(_nearest, "a long, b long")
+    return found.distinct()
+
+
+def _nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, rows, links = None, [], []
+    for batch in batches:
+        for segment, cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (segment, cell) != key:
+                links += nearest_links(rows)
+                key, rows = (segment, cell), []
+            rows.append(row)
+        if len(links) > 50_000:
+            yield _edges_of(links)
+            links = []
+    links += nearest_links(rows)
+    if links:
+        yield _edges_of(links)
+
+
+def _edges_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def nearest_links(rows: list[list]) -> list[tuple[int, int]]:
+    """Links (greater id, smaller id) of rows (role, id, near_fp, n), in order of their coming.
+
+    A row looks in the tree of those before it (role 2), and then enters it (role 1).
+    Texts within SURE bits form classes; a row links to its nearest in each class that
+    has one within NEAR_RADIUS bits. So a crowd of copies gives a link a text, and a text
+    between two classes links to both.
+    """
+    if len(rows) < 2:
+        return []
+    tree, held, out = BKTree(), [], []
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for role, this, fp, n in rows:
+        fp, best = int.from_bytes(fp, "big"), {}
+        for node in tree.within(fp, NEAR_RADIUS):
+            distance = (tree.values[node] ^ fp).bit_count()
+            for other, size in held[node]:
+                if other != this and min(n, size) >= SIMILARITY * max(n, size):
+                    best[root(other)] = min(best.get(root(other), (NEAR_RADIUS + 1, other)), (distance, other))
+        if role & 2:
+            out += [(max(this, other), min(this, other)) for _, other in best.values()]
+        if role & 1:
+            parent[this] = this
+            for distance, other in best.values():
+                if distance <= SURE:
+                    parent[root(other)] = root(this)
+            at = tree.insert(fp)
+            if at == len(held):
+                held.append([])
+            held[at].append((this, n))
+    return out
+
+
+def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links between texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more."""
+    ids = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = docs.select("doc_id", "text").join(ids, "doc_id")
+    left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return links.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long").distinct()
+
+
+def jaccard(one: str | None, two: str | None) -> float:
+    """Similarity of the sets of five-word shingles."""
+    a, b = (set(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), NEAR_SHINGLE).tolist()) for t in (one, two))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        keep = [jaccard(x, y) >= SIMILARITY for x, y in texts]
+        yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and group: contract groups, joined further where texts are similar; the group is its least doc_id."""
+    prints = staged(sketches(docs), "simhash-sketch")
+    groups = staged(grouped(prints.select("doc_id", "fp")), "simhash-group")
+    texts = prints.where("doc_id is not null and n > 0").groupBy("whole", "fp", "near_fp", "n")
+    texts = staged(texts.agg(F.min("doc_id").alias("id"), F.min("segments").alias("segments")), "simhash-text")
+    similar = verified(candidate_links(texts), docs)
+    of = groups.select("doc_id", "component_id").distinct()
+    named = similar.join(of.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a")
+    named = named.join(of.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb")), "b")
+    roots = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    found = groups.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
+    return found.select("doc_id", "fp", F.coalesce("root", "component_id").alias("group"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of similar documents: that of the least doc_id.
 
     Rows that share a doc_id, and rows without one, are told apart by fingerprint;
     of those that agree in both, the one with the least row hash stays.
     """
-    prints = staged(fingerprints(docs, shingle), "simhash-doc")
-    kept = staged(grouped(prints).where("doc_id <=> component_id").select("doc_id", "fp").distinct(), "simhash-kept")
-    odd = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    groups = staged(similar_groups(docs), "simhash-groups")
+    kept = groups.where("doc_id <=> group").select("doc_id", "fp").distinct()
+    odd = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
     plain = docs.join(kept.join(odd, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
     rest = docs.join(odd.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rest = _with_print(rest, shingle).join(
+    rest = _with_print(rest, SHINGLE).join(
         kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_kept")),
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")),
         "left_semi",

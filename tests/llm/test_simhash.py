@@ -100,3 +100,51 @@ def test_chain_components(spark):
     chain = {name[i] for i in range(41)}
     assert {got[x] for x in chain} == {min(chain)}
     assert len({got[name[i]] for i in (100, 101, 102)}) == 1
+
+
+def near_corpus(seed, families, copies):
+    """Texts with copies in which one word of forty or so is changed, all with a shared passage."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    passage, out = [word() for _ in range(60)], []
+    for _ in range(families):
+        base = [word() for _ in range(rnd.choice([20, 50, 75, 150, 400]))]
+        if rnd.random() < 0.5:
+            base += passage
+        out.append(" ".join(base))
+        for _ in range(copies):
+            rate = rnd.choice([0.004, 0.015, 0.03])
+            out.append(" ".join(word() if rnd.random() < rate else w for w in base))
+    rnd.shuffle(out)
+    return out
+
+
+def brute_similar(texts):
+    """Components of (fingerprints within 2 bits, or Jaccard of 0.8 on five-word shingles)."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    prints, group = [simhash.fingerprint(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                group[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_similar_groups_against_brute_force(spark, monkeypatch):
+    for chunk in (2048, 8):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        texts = near_corpus(9, 40, 6)
+        docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+        got = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
+        want = dict(enumerate(brute_similar(texts)))
+        assert sum(got[i] != want[i] for i in want) <= 2, [(i, got[i], want[i]) for i in want if got[i] != want[i]]
+        assert all(want[got[i]] == want[i] for i in want)  # nothing is joined that should not be
+        kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+        assert kept == {i for i in got if got[i] == i}
