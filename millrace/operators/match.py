@@ -28,24 +28,24 @@ def trie_match(df: DataFrame, trie: Trie, message: str = "message", name: str =
     return df.withColumn(name, F.pandas_udf(find, "long")(message))
 
 
-def first_constant(template: Column) -> Column:
-    """The first token without a wildcard, and how many tokens stand before it; null if a wildcard may span tokens before it."""
-    tokens = F.split(template, " ")
-    return F.when(~F.contains(tokens[0], F.lit("<*>")), tokens[0])
+def anchor(template: Column) -> Column:
+    """The longest token without a wildcard (the first of the longest), which every matching message has; else null."""
+    constant = F.filter(F.split(template, " "), lambda t: (t != "") & ~F.contains(t, F.lit("<*>")))
+    longest = F.array_max(F.transform(constant, lambda t: F.length(t)))
+    return F.try_element_at(F.filter(constant, lambda t: F.length(t) == longest), F.lit(1))
 
 
 def regex_match(messages: DataFrame, templates: DataFrame) -> DataFrame:
     """id, tid: the least tid whose expression matches each message (id, text); unmatched ones are left out.
 
-    Templates (tid, template) that begin with a constant token meet only the messages
-    that begin with it; the few others meet all.
+    A template (tid, template) meets the messages that have its anchor; only templates
+    without any constant token meet all.
     """
-    t = templates.select("tid", template_to_regex(F.col("template")).alias("regex"), first_constant(F.col("template")).alias("head"))
-    m = messages.select("id", "text", F.split("text", " ")[0].alias("head"))
-    keyed = m.join(t.where("head is not null"), "head").select("id", "tid", "text", "regex")
-    free = m.join(t.where("head is null").select("tid", "regex"), F.expr("text rlike regex")).select("id", "tid", "text", "regex")
-    hits = keyed.where(F.expr("text rlike regex")).union(free)
-    return hits.groupBy("id").agg(F.min("tid").alias("tid"))
+    t = templates.select("tid", template_to_regex(F.col("template")).alias("regex"), anchor(F.col("template")).alias("anchor"))
+    words = messages.select("id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
+    keyed = words.join(t.where("anchor is not null"), "anchor").where(F.expr("text rlike regex")).select("id", "tid")
+    free = messages.join(t.where("anchor is null").select("tid", "regex"), F.expr("text rlike regex")).select("id", "tid")
+    return keyed.union(free).groupBy("id").agg(F.min("tid").alias("tid"))
 
 
 def cover_pairs(templates: DataFrame) -> DataFrame:

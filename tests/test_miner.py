@@ -150,3 +150,21 @@ def test_sampling(spark):
     assert {r.id: r.n_id for r in hard_negatives(pairs).collect()}[0] == 2
     made = synth_positive("a <*> b", "a 12x b", 5)
     assert made == synth_positive("a <*> b", "a 12x b", 5) != "a 12x b" and re.fullmatch(r"a \d\dx b", made)
+
+
+def test_examples_and_command_line(spark, tmp_path, capsys):
+    from millrace import cli
+    from millrace.plans.examples import choose, with_contrasts
+
+    truth = lines_of(spark, corpus(200))
+    chosen = choose(truth, 6, rate=0.5)
+    found = with_contrasts(chosen, truth, rate=0.5).collect()
+    assert len(found) == 6 and all(r.Postive_Example and r.Negative_Example for r in found)
+    log = tmp_path / "x.log"
+    log.write_text("".join(f"[1.1 1:00] app - {c}\n" for _, c, _ in corpus(40)))
+    notes = spark.createDataFrame([(c, t) for _, c, t in corpus(40)], "Content string, EventTemplate string")
+    sinks.write_csv(notes, str(tmp_path / "notes"))
+    cli.main(["parse", str(log), "Proxifier", str(tmp_path / "p")])
+    cli.main(["groundtruth", str(log), "Proxifier", str(tmp_path / "notes"), str(tmp_path / "g")])
+    cli.main(["evaluate", str(tmp_path / "g/structured"), str(tmp_path / "p/structured"), str(tmp_path / "g/templates"), str(tmp_path / "p/templates")])
+    assert "GA" in capsys.readouterr().out
