@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.functions.align import ALIGNED, MERGED, merge_templates_udf, wild_align_udf  # noqa: F401
+from millrace.functions.align import merge_templates_udf, wild_align_udf
 from millrace.functions.rules import collapse, mask_common, mask_digits, mask_paths, mask_word_variables, rewrite
 from millrace.operators import evaluate as ev
 from millrace.operators import relational as rel
@@ -157,14 +157,11 @@ def prefix_sample(spark, sf_dir):
 
 # -- tokens and templates -------------------------------------------------------------
 
-_BROKEN = "regexp_replace(Content, '[0-9]+', case when LineId % 2 = 0 then '<*>' else '<*' end)"
-
-
 @register(f"""with m as (select LineId, case when LineId % 2 = 0 then regexp_replace(Content, '[0-9]+', '<*>', 'g') else regexp_replace(Content, '[0-9]+', '<*', 'g') end as t from {v.EVENTS_SQL}),
     u as (select LineId, regexp_extract_all(t, '(?s)<\\*>|<\\*|\\*>|.') as units from m)
     select LineId as "LineId", cast(len(units) as int) as n, array_to_string(list_transform(units, lambda p: case when p in ('<*', '*>') then '<*>' else p end), '~') as units from u""")
 def char_units(spark, sf_dir):
-    units = tx.char_units(F.expr(f"if(LineId % 2 = 0, regexp_replace(Content, '[0-9]+', '<*>'), regexp_replace(Content, '[0-9]+', '<*'))"))
+    units = tx.char_units(F.expr("if(LineId % 2 = 0, regexp_replace(Content, '[0-9]+', '<*>'), regexp_replace(Content, '[0-9]+', '<*'))"))
     return v.events(spark, sf_dir).select("LineId", F.size(units).alias("n"), F.array_join(units, "~").alias("units"))
 
 
