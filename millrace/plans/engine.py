@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.align import covers, merge_templates, wild_align, word_units
+from millrace.functions.align import merge_wilds as merge_wilds_text
 from millrace.functions.rules import correct_template, mask_common
 from millrace.functions.text import WORD_MARKS, digit_fallback, has_constant, heuristic_template, is_single, merge_wilds, normalize_ws, unwrap_response
 from millrace.operators.match import trie_match
@@ -40,12 +41,16 @@ class Miner:
     """``threshold``: Dice similarity above which an unknown message is compared with the nearest cluster.
 
     ``generalise``: on a merge, whether the cluster takes the merged template (else it
-    keeps its own and only matching widens).
+    keeps its own and only matching widens). ``generalise_many``: a new cluster and its
+    nearest become one template, if with all clusters that it covers they are at least
+    ``many`` for each wildcard more.
     """
 
     provider: Provider = field(default_factory=Heuristic)
     threshold: float = 0.5
     generalise: bool = True
+    generalise_many: bool = False
+    many: int = 5
     clusters: list[Cluster] = field(default_factory=list)
     trie: Trie = field(default_factory=Trie)
     direct: dict[str, int] = field(default_factory=dict)
@@ -69,10 +74,12 @@ class Miner:
     def tokens(text: str) -> Counter:
         return Counter(w for w in word_units(text, WORD_MARKS) if w.isalpha())
 
-    def nearest(self, message: str) -> tuple[float, Cluster | None]:
-        """The live cluster of greatest Dice similarity, the earliest of the best."""
+    def nearest(self, message: str, but: int | None = None) -> tuple[float, Cluster | None]:
+        """The live cluster of greatest Dice similarity, the earliest of the best; ``but`` is left out."""
         mine, best, found = self.tokens(message), 0.0, None
         for c in self.live():
+            if c.cid == but:
+                continue
             theirs = self.tokens(c.template)
             total = mine.total() + theirs.total()
             score = 2 * (mine & theirs).total() / total if total else 0.0
@@ -96,6 +103,8 @@ class Miner:
         self.clusters.append(new)
         self._insert(new.cid, template, message)
         self._absorb(new)
+        if self.generalise_many:
+            self._generalise(new)
         return new.cid
 
     def _absorb(self, new: Cluster) -> None:
@@ -105,6 +114,19 @@ class Miner:
         if taken:
             self._rebuild()
 
+    def _generalise(self, new: Cluster) -> None:
+        _, near = self.nearest(new.template, but=new.cid)
+        if near is None:
+            return
+        merged = merge_wilds_text(merge_templates(near.template, new.template)[0])
+        extra = merged.count("<*>") - near.template.count("<*>")
+        taken = [c for c in self.live() if c is not new and (c is near or covers(merged, c.template))]
+        if extra > 0 and len(taken) + 1 >= self.many * extra:
+            new.template = merged
+            for c in taken:
+                c.into = new.cid
+            self._rebuild()
+
     def _rebuild(self) -> None:
         """The trie anew from live clusters, with the examples of those that went into them."""
         self.trie = Trie()

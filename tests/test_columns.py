@@ -59,10 +59,12 @@ def test_merges_and_collapses(spark):
     rows = apply(spark, strings, tx.merge_wilds(F.col("s")), rules.collapse(F.col("s")))
     steps = [("<*>.<*>", "<*>"), ("<*><*>", "<*>"), (" #<*># ", " <*> "), (" #<*> ", " <*> "), *((f"<*>{c}<*>", "<*>") for c in ":#/@."), (' "<*>" ', " <*> "), (" '<*>' ", " <*> "), ("<*><*>", "<*>")]
     for x, (merged, collapsed) in zip(strings, rows, strict=True):
+        original = x
         for a, b in steps:
             while a in x:
                 x = x.replace(a, b)
         assert collapsed == x
+        assert merged == al.merge_wilds(original)
         assert merged.count("<*>") <= merged.count("<") and not re.search(r"<\*>[^\w ]*<\*>", merged)
 
 

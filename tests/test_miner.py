@@ -168,3 +168,14 @@ def test_examples_and_command_line(spark, tmp_path, capsys):
     cli.main(["groundtruth", str(log), "Proxifier", str(tmp_path / "notes"), str(tmp_path / "g")])
     cli.main(["evaluate", str(tmp_path / "g/structured"), str(tmp_path / "p/structured"), str(tmp_path / "g/templates"), str(tmp_path / "p/templates")])
     assert "GA" in capsys.readouterr().out
+
+
+def test_many_alike_become_one_template(spark):
+    messages = [f"job {w} is done now" for w in ("red", "blue", "green", "black", "white", "pink", "grey")]
+    one = Miner(Lookup({m: m for m in messages}), threshold=2.0, generalise_many=True)
+    one.learn(spark, messages)
+    assert [c.template for c in one.live()] != messages
+    assert "job <*> is done now" in {c.template for c in one.live()} and len(one.live()) < len(messages)
+    plain = Miner(Lookup({m: m for m in messages}), threshold=2.0)
+    plain.learn(spark, messages)
+    assert [c.template for c in plain.live()] == messages
