@@ -41,11 +41,11 @@ from millrace.llm.base import discard, staged
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Entries of one generation of a worker's cache of words.
-CACHED = 120_000
+CACHED = 200_000
 #: Documents that are cut into pieces at a time.
 ROWS = 2_000
 #: Tokens after which a block ends; a document is never split.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 14
 
 #: Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -183,9 +183,12 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
 
 def bounds(keys: DataFrame) -> list[tuple[int, int]]:
-    """Greatest (doc_id, tie) of each of as many ranges as the session has shuffle partitions, a null id lowest."""
-    low = -(1 << 63)
-    ranged = keys.select(F.coalesce("doc_id", F.lit(low)).alias("id"), "tie").repartitionByRange("id", "tie")
+    """Greatest (doc_id, tie) of each of twice as many ranges as the session has shuffle partitions, a null id lowest.
+
+    The number is given, as adaptive planning would make a few ranges of these small rows.
+    """
+    low, n = -(1 << 63), 2 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keys.select(F.coalesce("doc_id", F.lit(low)).alias("id"), "tie").repartitionByRange(n, "id", "tie")
     tops = ranged.groupBy(F.spark_partition_id()).agg(F.max(F.struct("id", "tie")).alias("top"))
     return sorted((r.top.id, r.top.tie) for r in tops.collect())[:-1]
 
