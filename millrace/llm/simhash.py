@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.base import map_texts, shared_dir, staged
+from millrace.llm.base import discard, map_texts, shared_dir, staged
 
 RADIUS = 2
 SEED = 42
@@ -56,6 +56,8 @@ WIDE, NEAR_RADIUS = 4, 50
 SURE = 32
 #: Segment ends, and the lengths between which texts have both kinds (a pair's lengths are within SIMILARITY).
 COARSE, FINE, SHORT = 16, 4, (64, 80)
+#: Bits of the filter that keeps texts without candidates out of a shuffle.
+MARKS = 1 << 24
 #: Texts of a shard that meet in one task.
 CHUNK = 2_048
 #: Shingles whose bits are counted at once, so that a long text needs little memory.
@@ -345,12 +347,12 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     tells, with lengths in proportion. Shards above ``CHUNK`` are dealt as chunks against
     chunks.
     """
-    held = texts.select("id", "near_fp", "n", F.size("segments").alias("m"), F.explode("segments").alias("segment"))
-    held = staged(held, "simhash-held")
+    held = texts.select("id", F.size("segments").alias("m"), F.explode("segments").alias("segment"))
     often = held.groupBy("segment").agg(F.count("*").alias("texts"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("texts", "segment"))
     counted = held.join(often, "segment").withColumn("rank", rank)
     counted = counted.where((F.col("rank") <= F.col("m") - F.ceil(F.col("m") / 3) + 1) & (F.col("texts") > 1))
+    counted = counted.select("id", "segment", "texts").join(texts.select("id", "near_fp", "n"), "id")
     chunks = F.ceil(F.col("texts") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     # Cell (i, j): trees of chunk i (role 1) against probes of chunk j (role 2); the diagonal has both (3).
@@ -430,12 +432,32 @@ def nearest_links(rows: list[list]) -> list[tuple[int, int]]:
 def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
     """The links between texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more."""
     ids = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = docs.select("doc_id", "text").join(ids, "doc_id")
+    # A filter of fixed size keeps most other texts out of the shuffle; the join decides.
+    needed = only_marked(docs.select("doc_id", "text"), ids).join(ids, "doc_id")
     left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return links.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long").distinct()
 
 
+def only_marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (doc_id, text) whose doc_id may be among ``ids``: those whose hash has its bit set in MARKS bits."""
+    bit = F.xxhash64("doc_id").bitwiseAND(F.lit(MARKS - 1))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    set_ = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toPandas()  # at most MARKS / 64 rows
+    table = np.zeros(MARKS // 64, dtype=np.uint64)
+    table[set_["word"].to_numpy()] = set_["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            hit = marks[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+            yield batch.select([0, 1]).filter(pa.array(hit))
+
+    return docs.withColumn("bit", bit).mapInArrow(run, "doc_id long, text string")
+
+
 def jaccard(one: str | None, two: str | None) -> float:
     """Similarity of the sets of five-word shingles."""
     a, b = (set(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), NEAR_SHINGLE).tolist()) for t in (one, two))
@@ -455,11 +477,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     groups = staged(grouped(prints.select("doc_id", "fp")), "simhash-group")
     texts = prints.where("doc_id is not null and n > 0").groupBy("whole", "fp", "near_fp", "n")
     texts = staged(texts.agg(F.min("doc_id").alias("id"), F.min("segments").alias("segments")), "simhash-text")
-    similar = verified(candidate_links(texts), docs)
+    links = staged(candidate_links(texts), "simhash-links")
+    similar = verified(links, docs)
     of = groups.select("doc_id", "component_id").distinct()
     named = similar.join(of.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a")
     named = named.join(of.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb")), "b")
     roots = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    for done in (prints, texts, links):
+        discard(done)
     found = groups.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
     return found.select("doc_id", "fp", F.coalesce("root", "component_id").alias("group"))
 
@@ -473,7 +498,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = staged(similar_groups(docs), "simhash-groups")
     kept = groups.where("doc_id <=> group").select("doc_id", "fp").distinct()
     odd = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
-    plain = docs.join(kept.join(odd, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    odd = staged(odd, "simhash-odd")
+    plain = docs.join(kept.join(odd, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if odd.isEmpty():
+        return plain
     rest = docs.join(odd.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     rest = _with_print(rest, SHINGLE).join(
         kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_kept")),
@@ -481,7 +509,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         "left_semi",
     )
     first = rest.groupBy("doc_id", "_fp").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return plain.select(*docs.columns).union(first.select("row.*"))
+    return plain.union(first.select("row.*"))
 
 
 def _with_print(docs: DataFrame, shingle: int) -> DataFrame:
