@@ -25,10 +25,8 @@ tokens match nothing; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,7 +163,7 @@ def filter_bits(windows: DataFrame) -> np.ndarray:
 
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     """doc_id, key (a hash of the text), hash, pattern, place and slots of the document windows that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(bits, bitorder="little"), bitorder="little"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def make():
         hasher, table = Hasher(), shared.value
