@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = "spark.sql.execution.arrow"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -29,14 +29,16 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
 def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this library from where the driver did, and bound their batches.
 
-    Rows are whole texts, so the default of 10,000 rows a batch is lowered unless the
-    session has a value of its own. On a cluster the library is installed or sent with ``--py-files``; then the
+    Rows are whole texts, so the defaults of 10,000 rows and 64 MB a batch are lowered
+    unless the session has values of its own. On a cluster the library is installed or sent with ``--py-files``; then the
     added path does not exist there and changes nothing.
     """
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "2000")
+    if spark.conf.get(f"{BATCH}.maxRecordsPerBatch") == "10000":
+        spark.conf.set(f"{BATCH}.maxRecordsPerBatch", "2000")
+    if spark.conf.get(f"{BATCH}.maxBytesPerBatch", None) == "67108864b":
+        spark.conf.set(f"{BATCH}.maxBytesPerBatch", "8m")
     return spark
