@@ -1,6 +1,6 @@
 """Command line: parse logs, build ground truth, score results, choose examples.
 
-    python -m millrace.cli parse LOG FORMAT OUT [--url ENDPOINT]
+    python -m millrace.cli parse LOG FORMAT OUT [--url ENDPOINT] [--examples JSON]
     python -m millrace.cli groundtruth LOG FORMAT ANNOTATIONS OUT
     python -m millrace.cli evaluate TRUTH RESULT TRUTH_TEMPLATES RESULT_TEMPLATES
     python -m millrace.cli examples TRUTH OUT
@@ -23,7 +23,11 @@ from millrace.sources import readers, sinks
 
 def parse(spark, args) -> None:
     lines = readers.load_log(spark, args.log, args.format).persist()
-    miner = Miner(Http(url=args.url) if args.url else Heuristic(), threshold=args.threshold)
+    known = []
+    if args.examples:
+        for e in readers.load_examples(spark, args.examples).orderBy("id").collect():
+            known.append({"content": e.content, "template": e.template, "positive": e.Postive_Example, "negative": e.Negative_Example})
+    miner = Miner(Http(url=args.url) if args.url else Heuristic(), threshold=args.threshold, examples=known)
     structured, templates = outputs(miner.mine(lines))
     sinks.write_structured(structured, f"{args.out}/structured", "overwrite")
     sinks.write_templates(templates, f"{args.out}/templates", "overwrite")
@@ -63,6 +67,7 @@ def main(argv: list[str] | None = None) -> None:
             command.add_argument(place)
         if name == "parse":
             command.add_argument("--url")
+            command.add_argument("--examples")
             command.add_argument("--threshold", type=float, default=0.5)
         if name == "examples":
             command.add_argument("-n", type=int, default=32)

@@ -14,12 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.align import covers, merge_templates, wild_align, word_units
+from millrace.functions.align import covers, merge_templates, wild_align, wild_align_udf, word_units
 from millrace.functions.align import merge_wilds as merge_wilds_text
 from millrace.functions.rules import correct_template, mask_common
 from millrace.functions.text import WORD_MARKS, digit_fallback, has_constant, heuristic_template, is_single, merge_wilds, normalize_ws, unwrap_response
 from millrace.operators.match import trie_match
+from millrace.operators.similarity import example_index, example_knn
 from millrace.operators.trie import Trie
+from millrace.plans.prompts import extract_text, merge_text
 from millrace.plans.providers import Heuristic, Provider, ask_all
 
 #: Leaders that one round asks for; the rest wait for the next round.
@@ -43,7 +45,9 @@ class Miner:
     ``generalise``: on a merge, whether the cluster takes the merged template (else it
     keeps its own and only matching widens). ``generalise_many``: a new cluster and its
     nearest become one template, if with all clusters that it covers they are at least
-    ``many`` for each wildcard more.
+    ``many`` for each wildcard more. ``examples`` (dicts with content, template, and
+    perhaps positive and negative; a few dozen) are what prompts show, the ``k`` nearest
+    to the message, best last.
     """
 
     provider: Provider = field(default_factory=Heuristic)
@@ -51,6 +55,9 @@ class Miner:
     generalise: bool = True
     generalise_many: bool = False
     many: int = 5
+    examples: list[dict] = field(default_factory=list)
+    k: int = 3
+    shown: dict[str, list[dict]] = field(default_factory=dict)
     clusters: list[Cluster] = field(default_factory=list)
     trie: Trie = field(default_factory=Trie)
     direct: dict[str, int] = field(default_factory=dict)
@@ -139,8 +146,10 @@ class Miner:
         merged, _ = merge_templates(message, cluster.template)
         if not any(ch not in "<>* " for ch in merged):
             return None
-        if not (covers(message, cluster.template) or self.provider.same(message, cluster.template)):
-            return None
+        if not covers(message, cluster.template):
+            prompt = merge_text(message, cluster.template, self.shown.get(message, [])) if self.provider.prompted else None
+            if not self.provider.same(message, cluster.template, prompt):
+                return None
         if self.generalise:
             cluster.template = merged
         self._insert(cluster.cid, merged, message)
@@ -159,9 +168,26 @@ class Miner:
                 continue
             self.accept(message, template)
 
-    def propose(self, spark, messages: list[str], prompts: list[str | None] | None = None) -> list[tuple[str, str]]:
+    def retrieve(self, spark, messages: list[str]) -> None:
+        """Note the nearest examples of each message."""
+        self.shown = {m: [] for m in messages}
+        if not self.examples:
+            return
+        known = spark.createDataFrame([(i, e["content"], e["template"]) for i, e in enumerate(self.examples)], "id long, content string, template string")
+        fitted = wild_align_udf("template", "content")
+        index = example_index(known.select("id", fitted.alias("a")).select("id", "a.template", "a.contents"))
+        asked = spark.createDataFrame(list(enumerate(messages)), "id long, text string")
+        for r in example_knn(asked, index, self.k).orderBy("id", F.desc("rank")).collect():
+            self.shown[messages[r.id]].append(self.examples[r.cand_id])
+
+    def propose(self, spark, messages: list[str]) -> list[tuple[str, str]]:
         """(message, template): the provider's answers, unwrapped, fitted, corrected; digits or heuristics where none serves."""
-        answers = ask_all(self.provider, list(zip(messages, prompts or [None] * len(messages), strict=True)))
+        if self.provider.prompted:
+            self.retrieve(spark, messages)
+            jobs = [(m, extract_text(m, self.shown[m])) for m in messages]
+        else:
+            jobs = [(m, None) for m in messages]
+        answers = ask_all(self.provider, jobs)
         self.asked += len(messages)
         rows = spark.createDataFrame(list(enumerate(zip(messages, answers, strict=True))), "i int, r struct<message:string,answer:string>")
         message, answer = F.col("r.message"), F.col("r.answer")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +62,25 @@ def merge_prompt(message: Column, other: Column, examples: Column) -> Column:
         ),
     )
     return filled(MERGE, examples=F.array_join(shown, ""), log1=message, log2=other)
+
+
+def fill(text: str, **values: str) -> str:
+    """A text with its ``{name}`` places filled, all at once."""
+    return re.sub(r"\{(\w+)\}", lambda m: values.get(m[1], m[0]), text)
+
+
+def extract_text(message: str, examples: list[dict]) -> str:
+    """``extract_prompt`` for one message; examples have content and template."""
+    shown = "".join(fill(EXTRACT_EXAMPLE, content=e["content"], template=e["template"]) for e in examples)
+    return fill(EXTRACT, examples=shown, log=message)
+
+
+def merge_text(message: str, other: str, examples: list[dict]) -> str:
+    """``merge_prompt`` for one pair; of an example's positive and negative those that there are."""
+    shown = "".join(
+        fill(MERGE_EXAMPLE, content=e["content"], other=e[side], answer=answer)
+        for e in examples
+        for side, answer in (("positive", "Yes"), ("negative", "No"))
+        if e.get(side)
+    )
+    return fill(MERGE, examples=shown, log1=message, log2=other)

@@ -15,6 +15,9 @@ WILD = "<*>"
 class Provider:
     """Proposes a template for a message, and tells whether two texts have the same template."""
 
+    #: Whether prompts are made for it.
+    prompted = False
+
     def template(self, message: str, prompt: str | None = None) -> str | None:
         raise NotImplementedError
 
@@ -43,6 +46,7 @@ class Lookup(Provider):
 class Callback(Provider):
     """Any function from a prompt to an answer."""
 
+    prompted = True
     ask: Callable[[str], str | None]
 
     def template(self, message: str, prompt: str | None = None) -> str | None:

@@ -95,8 +95,17 @@ def test_failing_and_tagged_providers(spark):
 
     lines = lines_of(spark, corpus(10)).select("LineId", "Content")
     assert {r.cid is None or r.EventTemplate for r in Miner(Broken()).mine(lines).collect()}
-    tagged = Callback(lambda p: "<START>" + re.sub(r"v\w+", "<*>", p) + "<END>")
-    found = {r.EventTemplate for r in Miner(tagged).mine(lines).collect()}
+    prompts = []
+
+    def answer(prompt):
+        prompts.append(prompt)
+        if "Answer:" in prompt.splitlines()[-1]:
+            return "<START>No<END>"
+        return "<START>" + re.sub(r"v\w+", "<*>", prompt.rsplit("<START>", 1)[1].split("<END>")[0]) + "<END>"
+
+    shown = [{"content": "disk a1 is full", "template": "disk <*> is full", "positive": "disk b is full", "negative": "x"}, {"content": "other 1", "template": "other <*>"}]
+    found = {r.EventTemplate for r in Miner(Callback(answer), examples=shown, k=1).mine(lines).collect()}
+    assert any("<START>disk a1 is full<END>\nTemplate:\n<START>disk <*> is full<END>" in p for p in prompts)
     assert "disk <*> is full" in found and Miner().mine(lines.limit(0)).count() == 0
 
 
