@@ -51,9 +51,9 @@ SPLIT = 512
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of the wide fingerprint that such documents are compared by, and the bits in which they may differ
 #: (at a similarity of 0.8 the expectation is 39 of 256 bits, the deviation 5.7).
-WIDE, NEAR_RADIUS = 4, 50
-#: Bits within which texts of a shard are taken for one class (at 0.84 the expectation).
-SURE = 32
+WIDE, NEAR_RADIUS = 4, 48
+#: Bits within which texts of a shard are taken for one class (the expectation at 0.8).
+SURE = 40
 #: Segment ends, and the lengths between which texts have both kinds (a pair's lengths are within SIMILARITY).
 COARSE, FINE, SHORT = 16, 4, (64, 80)
 #: Bits of the filter that keeps texts without candidates out of a shuffle.
