@@ -19,8 +19,9 @@ A fingerprint has 64 bits; two link at ``RADIUS`` = 2 or fewer differing bits.
 ``keep_one`` goes further than these groups: documents whose sets of five-word shingles
 have a Jaccard similarity of 0.8 or more are near-duplicates, too. Their SimHashes
 differ in 15 % of their bits, too many for shards of equal blocks, so shards of texts with
-a common rare segment (see ``sketch``) go through BK-trees, and each text's nearest
-there is held against it word by word. Only verified links join groups.
+a common rare segment (see ``sketch``) go through BK-trees, and each text is held word by
+word against what is near it there, until it has a verified link to each class of
+texts that has one. Only verified links join classes and groups.
 
 Defined cases: a null or blank text has fingerprint zero, and zero links like any
 other; repeated rows stay repeated and share a group; a null doc_id belongs to its
@@ -51,9 +52,7 @@ SPLIT = 512
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of the wide fingerprint that such documents are compared by, and the bits in which they may differ
 #: (at a similarity of 0.8 the expectation is 39 of 256 bits, the deviation 5.7).
-WIDE, NEAR_RADIUS = 4, 48
-#: Bits within which texts of a shard are taken for one class (the expectation at 0.8).
-SURE = 40
+WIDE, NEAR_RADIUS = 4, 50
 #: Segment ends, and the lengths between which texts have both kinds (a pair's lengths are within SIMILARITY).
 COARSE, FINE, SHORT = 16, 4, (64, 80)
 #: Bits of the filter that keeps texts without candidates out of a shuffle.
@@ -338,13 +337,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_texts(docs, make, "doc_id long, fp long, near_fp binary, n long, whole long, segments array<long>")
 
 
-def candidate_links(texts: DataFrame) -> DataFrame:
-    """(a, b): texts (id, near_fp, n, segments) and the nearest in fingerprint of those with a common rare segment.
+def similar_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): verified links between texts (id, near_fp, n, segments) of those with a common rare segment.
 
     Of each text's segments, ordered by how many texts hold them, the rarest count: so
     many that two texts with a third of their segments in common share a counted one.
     A shard is what counts one segment. It goes through a BK-tree as ``nearest_links``
-    tells, with lengths in proportion. Shards above ``CHUNK`` are dealt as chunks against
+    tells, with the texts from ``docs``. Shards above ``CHUNK`` are dealt as chunks against
     chunks.
     """
     held = texts.select("id", F.size("segments").alias("m"), F.explode("segments").alias("segment"))
@@ -352,7 +351,11 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("id").orderBy("texts", "segment"))
     counted = held.join(often, "segment").withColumn("rank", rank)
     counted = counted.where((F.col("rank") <= F.col("m") - F.ceil(F.col("m") / 3) + 1) & (F.col("texts") > 1))
-    counted = counted.select("id", "segment", "texts").join(texts.select("id", "near_fp", "n"), "id")
+    counted = staged(counted.select("id", "segment", "texts"), "simhash-counted")
+    # A filter of fixed size keeps most other texts out of the shuffle; the join decides.
+    ids = counted.select(F.col("id").alias("doc_id")).distinct()
+    needed = only_marked(docs.select("doc_id", "text"), ids).withColumnRenamed("doc_id", "id")
+    dealt = counted.join(texts.select("id", "near_fp", "n"), "id").join(needed, "id")
     chunks = F.ceil(F.col("texts") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     # Cell (i, j): trees of chunk i (role 1) against probes of chunk j (role 2); the diagonal has both (3).
@@ -361,11 +364,13 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     trees = F.transform(numbers, lambda j: cell(F.col("own"), j, F.when(j == F.col("own"), 3).otherwise(1)))
     probes = F.transform(F.filter(numbers, lambda i: i < F.col("own")), lambda i: cell(i, F.col("own"), F.lit(2)))
     trees = F.filter(trees, lambda c: c["cell"] % F.col("chunks") >= F.col("own"))  # each pair of chunks meets once
-    dealt = counted.withColumn("chunks", chunks).withColumn("own", own)
-    dealt = dealt.select("segment", F.explode(F.concat(trees, probes)).alias("c"), "id", "near_fp", "n")
-    dealt = dealt.select("segment", "c.cell", "c.role", "id", "near_fp", "n").repartition("segment", "cell")
+    dealt = dealt.withColumn("chunks", chunks).withColumn("own", own)
+    dealt = dealt.select("segment", F.explode(F.concat(trees, probes)).alias("c"), "id", "near_fp", "n", "text")
+    dealt = dealt.select("segment", "c.cell", "c.role", "id", "near_fp", "n", "text").repartition("segment", "cell")
     found = dealt.sortWithinPartitions("segment", "cell", "role", "id").mapInArrow(_nearest, "a long, b long")
-    return found.distinct()
+    links = staged(found.distinct(), "simhash-links")
+    discard(counted)
+    return links
 
 
 def _nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,17 +395,19 @@ def _edges_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def nearest_links(rows: list[list]) -> list[tuple[int, int]]:
-    """Links (greater id, smaller id) of rows (role, id, near_fp, n), in order of their coming.
+    """Verified links (greater id, smaller id) of rows (role, id, near_fp, n, text), in order of their coming.
 
     A row looks in the tree of those before it (role 2), and then enters it (role 1).
-    Texts within SURE bits form classes; a row links to its nearest in each class that
-    has one within NEAR_RADIUS bits. So a crowd of copies gives a link a text, and a text
-    between two classes links to both.
+    Verified links form classes. In each class that has members within NEAR_RADIUS bits,
+    a row is compared with one after the other, the nearest first, until one is similar
+    or none is left. So a crowd of copies gives a link a text, and no similar pair within
+    the radius stays unconnected.
     """
     if len(rows) < 2:
         return []
     tree, held, out = BKTree(), [], []
     parent: dict[int, int] = {}
+    sets: dict[int, set[int]] = {}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -408,37 +415,39 @@ def nearest_links(rows: list[list]) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    for role, this, fp, n in rows:
-        fp, best = int.from_bytes(fp, "big"), {}
+    def shingles(at: int) -> set[int]:
+        if at not in sets:
+            sets[at] = shingle_set(rows[at][4])
+        return sets[at]
+
+    for place, (role, this, fp, n, _) in enumerate(rows):
+        fp = int.from_bytes(fp, "big")
+        near = []
         for node in tree.within(fp, NEAR_RADIUS):
             distance = (tree.values[node] ^ fp).bit_count()
-            for other, size in held[node]:
-                if other != this and min(n, size) >= SIMILARITY * max(n, size):
-                    best[root(other)] = min(best.get(root(other), (NEAR_RADIUS + 1, other)), (distance, other))
-        if role & 2:
-            out += [(max(this, other), min(this, other)) for _, other in best.values()]
+            near += [
+                (distance, rows[other][1], other)
+                for other in held[node]
+                if rows[other][1] != this and min(n, rows[other][3]) >= SIMILARITY * max(n, rows[other][3])
+            ]
+        linked: dict[int, int] = {}
+        for _, name, other in sorted(near):
+            if (of := root(other)) not in linked and similar(shingles(place), shingles(other)):
+                linked[of] = other
+                out += [(max(this, name), min(this, name))] * (role >> 1)
         if role & 1:
-            parent[this] = this
-            for distance, other in best.values():
-                if distance <= SURE:
-                    parent[root(other)] = root(this)
+            parent[place] = place
+            for of in linked:
+                parent[of] = place
             at = tree.insert(fp)
             if at == len(held):
                 held.append([])
-            held[at].append((this, n))
+            held[at].append(place)
+        else:
+            sets.pop(place, None)
     return out
 
 
-def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links between texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more."""
-    ids = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # A filter of fixed size keeps most other texts out of the shuffle; the join decides.
-    needed = only_marked(docs.select("doc_id", "text"), ids).join(ids, "doc_id")
-    left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return links.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long").distinct()
-
-
 def only_marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of (doc_id, text) whose doc_id may be among ``ids``: those whose hash has its bit set in MARKS bits."""
     bit = F.xxhash64("doc_id").bitwiseAND(F.lit(MARKS - 1))
@@ -458,17 +467,15 @@ def only_marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("bit", bit).mapInArrow(run, "doc_id long, text string")
 
 
-def jaccard(one: str | None, two: str | None) -> float:
-    """Similarity of the sets of five-word shingles."""
-    a, b = (set(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), NEAR_SHINGLE).tolist()) for t in (one, two))
-    return len(a & b) / len(a | b) if a or b else 1.0
+def shingle_set(text: str | None) -> set[int]:
+    """The hashes of the five-word shingles of a text."""
+    return set(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), NEAR_SHINGLE).tolist())
 
 
-def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = [jaccard(x, y) >= SIMILARITY for x, y in texts]
-        yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+def similar(a: set[int], b: set[int]) -> bool:
+    """Whether two sets have a Jaccard similarity of SIMILARITY or more."""
+    common = len(a & b)
+    return not (a or b) or common / (len(a) + len(b) - common) >= SIMILARITY
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -477,10 +484,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     groups = staged(grouped(prints.select("doc_id", "fp")), "simhash-group")
     texts = prints.where("doc_id is not null and n > 0").groupBy("whole", "fp", "near_fp", "n")
     texts = staged(texts.agg(F.min("doc_id").alias("id"), F.min("segments").alias("segments")), "simhash-text")
-    links = staged(candidate_links(texts), "simhash-links")
-    similar = verified(links, docs)
+    links = similar_links(texts, docs)
     of = groups.select("doc_id", "component_id").distinct()
-    named = similar.join(of.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a")
+    named = links.join(of.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a")
     named = named.join(of.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb")), "b")
     roots = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     for done in (prints, texts, links):

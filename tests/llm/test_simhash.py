@@ -148,3 +148,33 @@ def test_similar_groups_against_brute_force(spark, monkeypatch):
         assert all(want[got[i]] == want[i] for i in want)  # nothing is joined that should not be
         kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
         assert kept == {i for i in got if got[i] == i}
+
+
+def test_a_failed_candidate_does_not_hide_the_rest_of_its_class():
+    """Every pair within the radius that is similar stays connected, whatever lies nearer."""
+    rnd, rows = random.Random(12), []
+    for _ in range(25):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        for _ in range(12):
+            words = list(base)
+            for at in rnd.sample(range(100), rnd.randrange(1, 5)):
+                words[at] = f"x{rnd.randrange(10**6)}"
+            text = " ".join(words)
+            _, near, n, _, _ = simhash.sketch(text)
+            rows.append([3, len(rows), near, n, text])
+    links = simhash.nearest_links(rows)
+    sets = [simhash.shingle_set(r[4]) for r in rows]
+    prints = [int.from_bytes(r[2], "big") for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.NEAR_RADIUS]
+    want = [(i, j) for i, j in near if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= simhash.SIMILARITY]
+    assert len(near) > len(want) > 50
+    assert set(links) <= set(want)
+
+    def parts(edges):
+        of = list(range(len(rows)))
+        for i, j in edges:
+            old, new = of[i], of[j]
+            of = [new if x == old else x for x in of]
+        return {frozenset(k for k, x in enumerate(of) if x == y) for y in of}
+
+    assert parts(links) == parts(want)
