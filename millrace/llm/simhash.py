@@ -304,23 +304,26 @@ def widened(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: str | None) -> tuple[int, bytes, int, int, list[int]]:
-    """Contract fingerprint, wide five-word fingerprint, number of five-word shingles, text hash, segments.
+    """Contract fingerprint, wide five-word fingerprint, number of distinct five-word shingles, text hash, segments.
 
-    Segments end at shingles whose hash ``COARSE`` divides, in texts of fewer than
-    ``SHORT[1]`` shingles also those that ``FINE`` divides; a segment is known by the
-    SimHash of its shingles. Texts between the bounds of SHORT have both kinds.
+    The wide fingerprint counts each distinct shingle once, as the similarity does that
+    is verified. Segments end at shingles whose hash ``COARSE`` divides, in texts of fewer
+    than ``SHORT[1]`` distinct shingles also those that ``FINE`` divides; a segment is known
+    by the SimHash of its shingles. Texts between the bounds of SHORT have both kinds.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     hashes = shingle_hashes(words, NEAR_SHINGLE)
-    n = len(hashes)
+    distinct = np.unique(hashes)
+    n = len(distinct)
     ones, segments = np.zeros(64 * WIDE, dtype=np.int64), set()
-    for at in range(0, n, BLOCK // WIDE):  # a segment ends with its block
+    for at in range(0, n, BLOCK // WIDE):
+        ones += widened(distinct[at : at + BLOCK // WIDE]).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK // WIDE):  # a segment ends with its block
         part = hashes[at : at + BLOCK // WIDE]
-        bits = widened(part)
-        ones += bits.sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         for step in [FINE] * (n < SHORT[1]) + [COARSE] * (n >= SHORT[0]):
             starts = np.concatenate([[0], np.flatnonzero(part[:-1] % np.uint64(step) == 0) + 1])
-            sums = np.add.reduceat(bits[:, :64], starts, axis=0, dtype=np.int64)
+            sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
             sizes = np.diff(starts, append=len(part))
             segments.update(np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").ravel().tolist())
     near = np.packbits(2 * ones > n).tobytes()

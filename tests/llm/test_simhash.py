@@ -178,3 +178,14 @@ def test_a_failed_candidate_does_not_hide_the_rest_of_its_class():
         return {frozenset(k for k, x in enumerate(of) if x == y) for y in of}
 
     assert parts(links) == parts(want)
+
+
+def test_repeated_blocks_do_not_hide_similar_texts():
+    """A text and the same with its first words twice more have nearly equal shingle sets."""
+    rnd, apart = random.Random(13), 0
+    for _ in range(30):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        texts = [" ".join(words), " ".join(words + 2 * words[:20])]
+        rows = [[3, k, *simhash.sketch(t)[1:3], t] for k, t in enumerate(texts)]
+        apart += simhash.nearest_links(rows) != [(1, 0)]
+    assert not apart
