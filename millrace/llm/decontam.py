@@ -113,10 +113,7 @@ def constant_enough(values: list[str | None], at: int, size: int) -> bool:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """hash, size, pattern, item_id, at, n (the item's windows) and slots of the benchmark's windows.
-
-    A window that an item repeats stands once, at its first place.
-    """
+    """hash, size, pattern, item_id, at, n (the item's distinct windows) and slots of every place of the benchmark's windows."""
 
     def make():
         hasher = Hasher()
@@ -127,13 +124,14 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
                 tokens, values = template(text)
                 if len(tokens) < SHORTEST:
                     continue
-                size, found = min(window, len(tokens)), {}
+                size, found = min(window, len(tokens)), []
                 for at, h in enumerate(hasher.windows(hasher.tokens(tokens), size).view(np.int64).tolist()):
                     if constant_enough(values, at, size):
-                        found.setdefault(h, at)
-                for h, at in found.items():
+                        found.append((h, at))
+                n = len({h for h, _ in found})
+                for h, at in found:
                     slots = [v for v in values[at : at + size] if v is not None]
-                    out.append((h, size, " ".join(tokens[at : at + size]), item_id, at, len(found), slots))
+                    out.append((h, size, " ".join(tokens[at : at + size]), item_id, at, n, slots))
             return out
 
         return work
@@ -162,7 +160,7 @@ def filter_bits(windows: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """doc_id, key (a hash of the text), hash, pattern, place and slots of the document windows that pass the filter."""
+    """doc_id, key (a hash of the text), hash, pattern, place and slots of every place of a document window that passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def make():
@@ -183,11 +181,8 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
                     one, two = _places(windows)
                     hits = np.flatnonzero(passes(one))
                     hits = hits[passes(two[hits])]
-                    seen = set()
-                    for at in hits.tolist():
-                        h = int(windows[at].view(np.int64))
-                        if h not in seen and constant_enough(values, at, size):
-                            seen.add(h)
+                    for at, h in zip(hits.tolist(), windows[hits].view(np.int64).tolist(), strict=True):
+                        if constant_enough(values, at, size):
                             slots = [v for v in values[at : at + size] if v is not None]
                             out.append((doc_id, key, h, " ".join(tokens[at : at + size]), at, slots))
             return out
@@ -199,12 +194,15 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, key, item_id, n_matched, coverage and exact (no slot differs) of each contaminated document and item."""
+    """doc_id, key, item_id, n_matched, coverage and exact of each contaminated document and item.
+
+    ``exact``: diagonals on which no slot differs suffice by themselves.
+    """
     wanted = staged(item_windows(items, window), "decontam-items")
     sizes = sorted(r.size for r in wanted.select("size").distinct().collect())  # at most WINDOW values
     seen = document_windows(docs, filter_bits(wanted), sizes).withColumnRenamed("slots", "values")
-    pairs = seen.join(wanted, ["hash", "pattern"]).select(
-        "doc_id", "key", "item_id", "n", "at", (F.col("place") - F.col("at")).alias("diagonal"),
+    pairs = seen.distinct().join(wanted, ["hash", "pattern"]).select(
+        "doc_id", "key", "item_id", "n", "hash", (F.col("place") - F.col("at")).alias("diagonal"),
         F.arrays_zip("slots", "values").alias("slots"),
     )
     pairs = staged(pairs, "decontam-pairs")
@@ -212,23 +210,26 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     filled = pairs.select(*line, F.explode("slots").alias("s")).select(*line, "s.slots", "s.values")
     per_value = filled.groupBy(*line, "slots").agg(F.min("values").alias("a"), F.max("values").alias("b"))
     per_line = per_value.groupBy(*line).agg(F.min(F.col("a") == F.col("b")).alias("consistent"), F.min((F.col("a") == F.col("slots")) & (F.col("a") == F.col("b"))).alias("same"))
-    lines = pairs.groupBy(*line).agg(F.count("*").alias("on_line"), F.first("n").alias("n"), F.collect_list("at").alias("ats"))
+    lines = pairs.groupBy(*line).agg(F.count("*").alias("on_line"), F.first("n").alias("n"), F.collect_set("hash").alias("hashes"))
     # Null document ids must meet themselves.
     per_line = per_line.select(*(F.col(c).alias(f"_{c}") for c in line), "consistent", "same")
     on = F.lit(True)
     for c in line:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    lines = lines.join(per_line, on, "left").where("coalesce(consistent, true)")
+    lines = lines.join(per_line, on, "left").where("coalesce(consistent, true)").withColumn("same", F.coalesce("same", F.lit(True)))
+    windows = lambda hashes: F.size(F.array_distinct(F.flatten(F.collect_list(hashes))))
     found = lines.groupBy("doc_id", "key", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_matched"),
+        windows(F.col("hashes")).alias("n_matched"),
+        windows(F.when(F.col("same"), F.col("hashes"))).alias("n_same"),
         F.max("on_line").alias("longest"),
+        F.max(F.when(F.col("same"), F.col("on_line")).otherwise(0)).alias("longest_same"),
         F.first("n").alias("n"),
-        F.min(F.coalesce("same", F.lit(True))).alias("exact"),
     )
+    enough = lambda matched, longest: (F.col(matched) / F.col("n") >= COVERAGE) | (F.col(longest) >= RUN)
     return (
         found.withColumn("coverage", F.col("n_matched") / F.col("n"))
-        .where((F.col("coverage") >= COVERAGE) | (F.col("longest") >= RUN))
-        .select("doc_id", "key", "item_id", "n_matched", "coverage", "exact")
+        .where(enough("n_matched", "longest"))
+        .select("doc_id", "key", "item_id", "n_matched", "coverage", enough("n_same", "longest_same").alias("exact"))
     )
 
 

@@ -63,3 +63,20 @@ def test_against_brute_force(spark):
         docs.append((i, " ".join(words)))
     got = d.contaminated(spark.createDataFrame([(i, t, "") for i, t in docs], DOC), spark.createDataFrame([(i, t, 0) for i, t in items], ITEM)).collect()
     assert {(r.doc_id, r.item_id, r.n_matched) for r in got if r.coverage >= d.COVERAGE} == brute(docs, items)
+
+
+def test_a_broken_variant_does_not_hide_a_later_copy(spark):
+    item = "Tom has five apples and buys five pears at the market."
+    broken = "Tom has six apples and buys nine pears at the market."
+    noise = "These words stand between the questions of the sheet."
+    filled = "Tom has four apples and buys four pears at the market."
+    docs = [(1, f"{broken} {noise} {item}"), (2, f"{broken} {noise} {broken}"), (3, f"{broken} {noise} {filled}"), (4, f"{filled} {noise} {item}"), (1, f"{broken} {noise} {item}")]
+    frame = spark.createDataFrame([(i, t, "h") for i, t in docs], DOC)
+    items = spark.createDataFrame([(10, item, 1)], ITEM)
+    got = sorted((r.doc_id, r.item_id, r.exact) for r in d.contaminated(frame, items).collect())
+    assert got == [(1, 10, True), (3, 10, False), (4, 10, True)]
+    # A window that the item itself repeats meets the document at each of its places.
+    question = "Tom has {} apples and buys {} pears at the market near the old mill by the river."
+    twice = question.format("five", "five") + " " + question.format("two", "seven")
+    rows = spark.createDataFrame([(1, question.format("four", "nine"), "h")], DOC)
+    assert [r.doc_id for r in d.contaminated(rows, spark.createDataFrame([(11, twice, 1)], ITEM)).collect()] == [1]
