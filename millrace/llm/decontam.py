@@ -5,7 +5,9 @@ names (``<a>``: runs of capitalised words inside a sentence) and units (``<u>``:
 unit after a number). Windows of ``WINDOW`` template tokens are hashed on both sides
 and joined, so a question with other numbers or names still meets its item. Shorter
 items of at least ``SHORTEST`` tokens are one window of their own length. Windows with
-fewer constant tokens than half, rounded up, are left out.
+fewer constant tokens than half, rounded up, say little by their template: they count
+where every slot has the item's value, or on a consistent diagonal of ``RUN`` windows.
+Those of slots alone meet by their values only.
 
 A filter of fixed size (``BITS`` bits, two per window) over the benchmark's windows is
 sent to the tasks; only document windows that pass are shuffled. It decides nothing:
@@ -14,7 +16,8 @@ the join on hash and template text does.
 Matched windows are put on diagonals (document place minus item place). A diagonal is
 consistent if each slot value of the item always meets the same value in the document;
 only such diagonals count. A document is contaminated by an item if the matched
-windows make up ``COVERAGE`` of the item's, or ``RUN`` of them lie on one diagonal.
+windows make up ``COVERAGE`` of the item's, of all or of those with constants enough,
+or ``RUN`` of them lie on one diagonal.
 
 Defined cases: null and empty texts have no windows; rows with equal doc_id and text
 are one row of the result; a null doc_id is kept as null; items with equal text count
@@ -28,7 +31,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.base import map_texts, staged
@@ -112,8 +115,22 @@ def constant_enough(values: list[str | None], at: int, size: int) -> bool:
     return 2 * values[at : at + size].count(None) >= size
 
 
+def window_key(tokens: list[str], values: list[str | None], at: int, size: int, shape: int) -> tuple[int, str]:
+    """Hash and pattern that a window is joined by: of its template, or of its values where it has slots alone."""
+    pattern, slots = " ".join(tokens[at : at + size]), values[at : at + size]
+    if None in slots:
+        return shape, pattern
+    pattern += "\n" + "\n".join(slots)
+    key = xxhash.xxh64_intdigest(pattern.encode("utf-8", "surrogatepass"))
+    return key - (1 << 64) if key >> 63 else key, pattern
+
+
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """hash, size, pattern, item_id, at, n (the item's distinct windows) and slots of every place of the benchmark's windows."""
+    """hash, size, pattern, item_id, at, n, n_firm, firm, slots and shape of every place of the benchmark's windows.
+
+    ``firm`` windows have constants enough; ``n`` and ``n_firm`` are the item's distinct
+    windows, all and firm. ``shape`` is the hash of the template.
+    """
 
     def make():
         hasher = Hasher()
@@ -125,19 +142,20 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
                 if len(tokens) < SHORTEST:
                     continue
                 size, found = min(window, len(tokens)), []
-                for at, h in enumerate(hasher.windows(hasher.tokens(tokens), size).view(np.int64).tolist()):
-                    if constant_enough(values, at, size):
-                        found.append((h, at))
-                n = len({h for h, _ in found})
-                for h, at in found:
+                for at, shape in enumerate(hasher.windows(hasher.tokens(tokens), size).view(np.int64).tolist()):
+                    h, pattern = window_key(tokens, values, at, size, shape)
+                    found.append((h, pattern, at, constant_enough(values, at, size), shape))
+                n, n_firm = len({h for h, *_ in found}), len({h for h, _, _, firm, _ in found if firm})
+                for h, pattern, at, firm, shape in found:
                     slots = [v for v in values[at : at + size] if v is not None]
-                    out.append((h, size, " ".join(tokens[at : at + size]), item_id, at, n, slots))
+                    out.append((h, size, pattern, item_id, at, n, n_firm, firm, slots, shape))
             return out
 
         return work
 
     unique = items.where("item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    return map_texts(unique, make, "hash long, size int, pattern string, item_id long, at int, n int, slots array<string>", ("item_id", "text"))
+    schema = "hash long, size int, pattern string, item_id long, at int, n int, n_firm int, firm boolean, slots array<string>, shape long"
+    return map_texts(unique, make, schema, ("item_id", "text"))
 
 
 def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +184,9 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
     def make():
         hasher, table = Hasher(), shared.value
 
+        def known(h: int) -> bool:
+            return all(table[place >> 3] >> (place & 7) & 1 for place in (h & (BITS - 1), h >> 30 & (BITS - 1)))
+
         def passes(places: np.ndarray) -> np.ndarray:
             return table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1 == 1
 
@@ -181,10 +202,11 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
                     one, two = _places(windows)
                     hits = np.flatnonzero(passes(one))
                     hits = hits[passes(two[hits])]
-                    for at, h in zip(hits.tolist(), windows[hits].view(np.int64).tolist(), strict=True):
-                        if constant_enough(values, at, size):
+                    for at, shape in zip(hits.tolist(), windows[hits].view(np.int64).tolist(), strict=True):
+                        h, pattern = window_key(tokens, values, at, size, shape)
+                        if h == shape or known(h):
                             slots = [v for v in values[at : at + size] if v is not None]
-                            out.append((doc_id, key, h, " ".join(tokens[at : at + size]), at, slots))
+                            out.append((doc_id, key, h, pattern, at, slots))
             return out
 
         return work
@@ -200,36 +222,67 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     """
     wanted = staged(item_windows(items, window), "decontam-items")
     sizes = sorted(r.size for r in wanted.select("size").distinct().collect())  # at most WINDOW values
-    seen = document_windows(docs, filter_bits(wanted), sizes).withColumnRenamed("slots", "values")
+    marks = wanted.select(F.explode(F.array("hash", "shape")).alias("hash")).distinct()
+    seen = document_windows(docs, filter_bits(marks), sizes).withColumnRenamed("slots", "values")
     pairs = seen.distinct().join(wanted, ["hash", "pattern"]).select(
-        "doc_id", "key", "item_id", "n", "hash", (F.col("place") - F.col("at")).alias("diagonal"),
-        F.arrays_zip("slots", "values").alias("slots"),
+        "doc_id", "key", "item_id", "n", "n_firm", "firm", "hash", (F.col("place") - F.col("at")).alias("diagonal"),
+        (F.col("slots") == F.col("values")).alias("equal"), F.arrays_zip("slots", "values").alias("slots"),
     )
     pairs = staged(pairs, "decontam-pairs")
     line = ["doc_id", "key", "item_id", "diagonal"]
-    filled = pairs.select(*line, F.explode("slots").alias("s")).select(*line, "s.slots", "s.values")
-    per_value = filled.groupBy(*line, "slots").agg(F.min("values").alias("a"), F.max("values").alias("b"))
-    per_line = per_value.groupBy(*line).agg(F.min(F.col("a") == F.col("b")).alias("consistent"), F.min((F.col("a") == F.col("slots")) & (F.col("a") == F.col("b"))).alias("same"))
-    lines = pairs.groupBy(*line).agg(F.count("*").alias("on_line"), F.first("n").alias("n"), F.collect_set("hash").alias("hashes"))
+    filled = pairs.select(*line, "firm", F.explode("slots").alias("s")).select(*line, "firm", "s.slots", "s.values")
+    of_firm = F.when(F.col("firm"), F.col("values"))
+    per_value = filled.groupBy(*line, "slots").agg(
+        F.min("values").alias("a"), F.max("values").alias("b"), F.min(of_firm).alias("firm_a"), F.max(of_firm).alias("firm_b")
+    )
+    per_line = per_value.groupBy(*line).agg(
+        F.min(F.col("a") == F.col("b")).alias("all_consistent"),
+        F.min((F.col("a") == F.col("slots")) & (F.col("a") == F.col("b"))).alias("all_same"),
+        F.min(F.col("firm_a") == F.col("firm_b")).alias("consistent"),
+        F.min((F.col("firm_a") == F.col("slots")) & (F.col("firm_a") == F.col("firm_b"))).alias("same"),
+    )
+    lines = pairs.groupBy(*line).agg(
+        F.count("*").alias("on_line"), F.count_if("firm").alias("firm_on_line"), F.first("n").alias("n"), F.first("n_firm").alias("n_firm"),
+        F.collect_set(F.when(F.col("firm"), F.col("hash"))).alias("firm_hashes"),
+        F.collect_set(F.when(~F.col("firm"), F.col("hash"))).alias("loose"),
+        F.collect_set(F.when(~F.col("firm") & F.col("equal"), F.col("hash"))).alias("loose_equal"),
+    )
     # Null document ids must meet themselves.
-    per_line = per_line.select(*(F.col(c).alias(f"_{c}") for c in line), "consistent", "same")
+    facts = ["all_consistent", "all_same", "consistent", "same"]
+    per_line = per_line.select(*(F.col(c).alias(f"_{c}") for c in line), *facts)
     on = F.lit(True)
     for c in line:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    lines = lines.join(per_line, on, "left").where("coalesce(consistent, true)").withColumn("same", F.coalesce("same", F.lit(True)))
+    lines = lines.join(per_line, on, "left").withColumns({c: F.coalesce(c, F.lit(True)) for c in facts})
+    # What counts on a line: firm windows if they are consistent, equal ones, and all of a long consistent line.
+    long = F.col("all_consistent") & (F.col("on_line") >= RUN)
+    lines = lines.withColumns({
+        "of_firm": F.when(F.col("consistent"), F.col("firm_hashes")),
+        "of_loose": F.when(long, F.col("loose")).otherwise(F.col("loose_equal")),
+        "run": F.greatest(F.when(F.col("consistent"), F.col("firm_on_line")), F.when(F.col("all_consistent"), F.col("on_line")), F.lit(0)),
+        "same_run": F.greatest(F.when(F.col("same"), F.col("firm_on_line")), F.when(F.col("all_same"), F.col("on_line")), F.lit(0)),
+    })
     windows = lambda hashes: F.size(F.array_distinct(F.flatten(F.collect_list(hashes))))
     found = lines.groupBy("doc_id", "key", "item_id").agg(
-        windows(F.col("hashes")).alias("n_matched"),
-        windows(F.when(F.col("same"), F.col("hashes"))).alias("n_same"),
-        F.max("on_line").alias("longest"),
-        F.max(F.when(F.col("same"), F.col("on_line")).otherwise(0)).alias("longest_same"),
+        windows(F.col("of_firm")).alias("firm"),
+        windows(F.col("of_loose")).alias("loose"),
+        windows(F.when(F.col("same"), F.col("firm_hashes"))).alias("firm_same"),
+        windows(F.col("loose_equal")).alias("loose_same"),
+        F.max("run").alias("longest"),
+        F.max("same_run").alias("longest_same"),
         F.first("n").alias("n"),
+        F.first("n_firm").alias("n_firm"),
     )
-    enough = lambda matched, longest: (F.col(matched) / F.col("n") >= COVERAGE) | (F.col(longest) >= RUN)
+
+    def share(firm: str, loose: str) -> Column:
+        return F.greatest((F.col(firm) + F.col(loose)) / F.col("n"), F.try_divide(F.col(firm), F.col("n_firm")))
+
     return (
-        found.withColumn("coverage", F.col("n_matched") / F.col("n"))
-        .where(enough("n_matched", "longest"))
-        .select("doc_id", "key", "item_id", "n_matched", "coverage", enough("n_same", "longest_same").alias("exact"))
+        found.withColumn("n_matched", F.col("firm") + F.col("loose"))
+        .withColumn("coverage", share("firm", "loose"))
+        .where((F.col("coverage") >= COVERAGE) | (F.col("longest") >= RUN))
+        .withColumn("exact", (share("firm_same", "loose_same") >= COVERAGE) | (F.col("longest_same") >= RUN))
+        .select("doc_id", "key", "item_id", "n_matched", "coverage", "exact")
     )
 
 

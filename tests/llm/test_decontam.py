@@ -80,3 +80,21 @@ def test_a_broken_variant_does_not_hide_a_later_copy(spark):
     twice = question.format("five", "five") + " " + question.format("two", "seven")
     rows = spark.createDataFrame([(1, question.format("four", "nine"), "h")], DOC)
     assert [r.doc_id for r in d.contaminated(rows, spark.createDataFrame([(11, twice, 1)], ITEM)).collect()] == [1]
+
+
+def test_windows_of_slots_count_by_value(spark):
+    numbers = "On paper add 10 20 30 40 50 60 70 80 90 11"
+    long = "Now take 1 from 21 and 2 from 32 3 4 then 5 6 7 8 9 to 10 11 12 13 with 14 15 16 17 or 18 19 20 on 22 23"
+    other = "Now take 51 from 71 and 52 from 82 53 54 then 55 56 57 58 59 to 60 61 62 63 with 64 65 66 67 or 68 69 70 on 72 73"
+    items = [(1, "Compute 12 + 34 + 56 - 78"), (2, numbers), (3, long), (4, "1 2 3 4 5 6 7 8 9")]
+    docs = [
+        (1, "We say: compute 12 + 34 + 56 - 78 and more"),
+        (2, "We say: compute 12 + 34 + 56 - 79 and more"),
+        (3, "Here on paper add 10 20 30 40 50 60 70 80 90 11 and more"),
+        (4, "A table 5 6 1 7 8 5 3 1 2 9 8 7 6 5 4 and 3 4 5 1 2 3 8 9 7 5 4 3 2 and more"),
+        (5, "They now take 51 from 71 " + other[len("Now take 51 from 71 ") :]),
+        (6, "In a row 1 2 3 4 5 6 7 8 9 and more"),
+    ]
+    frame = spark.createDataFrame([(i, t, "h") for i, t in docs], DOC)
+    got = d.contaminated(frame, spark.createDataFrame([(i, t, 0) for i, t in items], ITEM)).collect()
+    assert {(r.doc_id, r.item_id, r.exact) for r in got} == {(1, 1, True), (3, 2, True), (5, 3, False), (6, 4, True)}
