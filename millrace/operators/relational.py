@@ -5,21 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.staging import discard, staged
+
 
 def dense_line_id(df: DataFrame, order: list[str], name: str = "LineId") -> DataFrame:
     """``df`` with 1..n in the order of ``order``, without bringing all rows to one task.
 
-    Rows are range-partitioned and numbered inside each partition; a partition's offset
-    is the number of rows in the partitions before it. Keys must be unique.
+    Keys must be unique and not null. Rows are range-partitioned and sorted once, and
+    stored with their partition and place, so that counting and numbering see the same
+    partitions whatever adaptive planning makes of them and whatever executor is lost.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _numbered(staged(_placed(ranged, F.spark_partition_id()), "lines"), ["_part"], df.columns, name)
+
+
+def dense_line_id_in_files(df: DataFrame, file: str, block: str, name: str = "LineId") -> DataFrame:
+    """1..n over rows as scanned from files: by file, then by the offset of the split, then by place in the split.
+
+    ``file`` and ``block`` are the scan's ``file_path`` and ``file_block_start``. A split is read
+    by one task from its beginning to its end, so nothing is shuffled or sorted.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    numbered = ranged.withColumn("_n", F.row_number().over(inside))
-    # The offsets have one row a partition.
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    return numbered.join(offsets, "_part").select((F.col("_offset") + F.col("_n")).alias(name), *df.columns)
+    return _numbered(staged(_placed(df), "lines"), [file, block], df.columns, name)
+
+
+def _placed(df: DataFrame, *part: Column) -> DataFrame:
+    """``df`` with each row's running number in its task (``_place``), and ``_part`` if given."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.select("*", *(p.alias("_part") for p in part), place.alias("_place"))
+
+
+def _numbered(stored: DataFrame, parts: list[str], columns: list[str], name: str) -> DataFrame:
+    """Stored rows numbered by ``parts`` and, inside, by ``_place``; a part's rows have places without gaps."""
+    # One row a partition or split.
+    sizes = stored.groupBy(*parts).agg(F.count("*").alias("_rows"), F.min("_place").alias("_least"))
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_least") + 1
+    offsets = sizes.select(*parts, offset.alias("_offset"))
+    return stored.join(offsets, parts).select((F.col("_offset") + F.col("_place")).alias(name), *columns)
 
 
 def prefix_sample(df: DataFrame, rate: float, line: str = "LineId") -> DataFrame:
@@ -29,8 +51,9 @@ def prefix_sample(df: DataFrame, rate: float, line: str = "LineId") -> DataFrame
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """``n`` rows of least seeded hash: a sample without replacement that repeats."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """``n`` rows of least seeded hash (md5 of seed, colon and key): a sample without replacement that repeats."""
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(hashed, key).limit(n)
 
 
 def last_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -64,13 +87,17 @@ def neighbourhood(a: DataFrame, b: DataFrame, place: str, reach: int) -> DataFra
 def roots(links: DataFrame, node: str = "cid", to: str = "next") -> DataFrame:
     """(cid, root): each id's last redirect, found by doubling the links until nothing moves.
 
-    Redirects form chains that end at an id pointing to itself.
+    Redirects form chains that end at an id pointing to itself. Each step is stored, and
+    the one before it deleted.
     """
     now = links.select(F.col(node).alias("cid"), F.col(to).alias("root"))
     while True:
         further = now.select(F.col("cid").alias("root"), F.col("root").alias("_further"))
-        moved = now.join(further, "root", "left").select("cid", F.coalesce("_further", "root").alias("root"), (F.coalesce("_further", "root") != F.col("root")).alias("_moved"))
-        moved = moved.checkpoint() if moved.sparkSession.conf.get("spark.checkpoint.dir", None) else moved.persist()
+        after = F.coalesce("_further", "root")
+        moved = now.join(further, "root", "left").select("cid", after.alias("root"), (after != F.col("root")).alias("_moved"))
+        moved = staged(moved, "roots")
+        discard(now)
         now = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             return now
+        now._staged_path = moved._staged_path  # noqa: SLF001

@@ -1,18 +1,22 @@
 """Sources, the engine, streaming, and accuracy end to end."""
 
 import json
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.align import covers
 from millrace.operators import evaluate as ev
 from millrace.operators.groundtruth import build_groundtruth
+from millrace.operators.match import CoverIndex, cover_pairs
 from millrace.operators.relational import dense_line_id, neighbourhood, roots
-from millrace.operators.sampling import farthest_points, hard_negatives, hard_positives, pairs_near, synth_positive, with_regex
+from millrace.operators.sampling import farthest_points, hard_negatives, hard_positives, pairs_near, synth_positive
 from millrace.plans.engine import Miner, outputs
 from millrace.plans.providers import Callback, Lookup, Provider
 from millrace.sources import readers, sinks
-from millrace.streaming.online import OnlineMiner, windowed_counts
+from millrace.streaming.online import OnlineMiner, log_stream, windowed_counts
 
 TEMPLATES = ["open connection <*> to port <*>", "closed session of user <*>", "disk <*> is full", "retry <*> of <*> failed", "started"]
 
@@ -55,6 +59,39 @@ def test_dense_line_id(spark):
     assert [r.LineId for r in got] == list(range(1, 335)) and [r.k for r in got] == list(range(0, 1000, 3))
 
 
+def test_dense_line_id_over_many_partitions(spark):
+    """Wide shuffled rows in many small partitions, which adaptive planning puts together as it likes."""
+    n, name = 300_000, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        rows = spark.range(n).select((F.col("id") * 7 % n).alias("k"), F.lit("y").alias("y"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 5).alias("wide")).repartition(9)
+        got = dense_line_id(rows, ["k"])
+        found = got.agg(F.count("*"), F.countDistinct("LineId"), F.min("LineId"), F.max("LineId"), F.count_if(F.col("LineId") != F.col("k") + 1)).first()
+    finally:
+        spark.conf.set(name, before)
+    assert tuple(found) == (n, n, 1, n, 0)
+    assert got.columns == ["LineId", "k", "y", "wide"]
+    assert dense_line_id(rows.limit(0), ["k"]).count() == 0
+
+
+def test_load_log_over_many_splits(spark, tmp_path):
+    """Lines are numbered in file order where files are read in many splits and lines are left out."""
+    for f in range(3):
+        text = "".join(f"[t] app - file {f} line {i}\n" if i % 5 else "broken\n" for i in range(4000 * (3 - f)))
+        (tmp_path / f"{f}.log").write_text(text)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20k")
+    try:
+        got = [(r.LineId, r.Content) for r in readers.load_log(spark, str(tmp_path), "Proxifier").orderBy("LineId").collect()]
+        some = [(r.LineId, r.Content) for r in readers.load_sample(spark, str(tmp_path), "Proxifier", 3000).orderBy("LineId").collect()]
+    finally:
+        spark.conf.set(name, before)
+    want = [f"file {f} line {i}" for f in range(3) for i in range(4000 * (3 - f)) if i % 5]
+    assert got == list(enumerate(want, 1)) and some == got[:3000]
+
+
 def test_roots_and_neighbourhood(spark):
     links = spark.createDataFrame([(i, max(0, i - 1)) for i in range(40)], "cid long, next long")
     assert {r.root for r in roots(links).collect()} == {0}
@@ -88,6 +125,70 @@ def test_rounds_equal_sequence_with_recorded_answers(spark):
     assert all(again.find(c) is not None for _, c, _ in rows)
 
 
+def test_rounds_equal_sequence_on_mixed_messages(spark):
+    """Templates of many shapes, near-equal leaders, covered messages, single tokens, blanks and nulls."""
+    rnd, rows = random.Random(5), []
+    shapes = ["open <*> port <*>", "open <*>", "open file", "user <*> in", "user <*> out", "a=<*>, b=<*>", "start", "", "disk <*> of <*> is <*> full", "disk <*> of <*> is gone"]
+    for i in range(150):
+        shape = rnd.choice(shapes)
+        text = re.sub(r"<\*>", lambda _: rnd.choice(["x1", "yy", "7", "a-b", "c:d"]), shape)
+        rows.append((i + 1, text, shape))
+    provider = Lookup({c: t for _, c, t in rows})
+    one, two = Miner(provider), Miner(provider)
+    spaced = [(i, c) for i, c, _ in rows if " " in c]
+    cids = one.learn(spark, [c for _, c in spaced])
+    lines = spark.createDataFrame([(i, c) for i, c, _ in rows] + [(1000, None), (1001, "  ")], "LineId long, Content string")
+    mined = {r.LineId: r for r in two.mine(lines).collect()}
+    assert len(mined) == 152
+    assert {i: one.clusters[c].template for (i, _), c in zip(spaced, cids, strict=True)} == {i: mined[i].EventTemplate for i, _ in spaced}
+    assert all(mined[i].cid is None and mined[i].EventTemplate == "" for i in (1000, 1001))
+    assert two.observed.get["lines"] == 152 and two.observed.get["unmatched"] == 0
+
+
+def test_near_equal_messages_wait_for_the_first(spark):
+    """One of the alike is asked for; the others are found by its template in the next round."""
+    rows = [(i, f"connection of host {w} was closed by peer") for i, w in enumerate(("red", "blue", "green", "white"))]
+    known = "connection of host <*> was closed by peer"
+    miner = Miner(Lookup({t: known for _, t in rows}))
+    mined = miner.mine(spark.createDataFrame(rows, "LineId long, Content string")).collect()
+    assert {r.EventTemplate for r in mined} == {known} and miner.asked == 1
+
+
+def test_merges_keep_the_template_unless_told(spark):
+    class Same(Lookup):
+        def same(self, message, template, prompt=None):
+            return True
+
+    messages = ["job red is done now", "job blue is done now", "job green is done now"]
+    for generalise, want in ((False, "job red is done now"), (True, "job <*> is done now")):
+        miner = Miner(Same({m: m for m in messages}), generalise=generalise)
+        assert set(miner.learn(spark, messages)) == {0} and [c.template for c in miner.live()] == [want]
+        again = Miner(Same())
+        again.restore(miner.state())
+        assert again.find("job pink is done now") == 0 and again.state() == miner.state()
+
+
+def test_absorbed_clusters_still_match(spark):
+    miner = Miner(Lookup({"user a in": "user a in", "user b in": "user <*> in"}), threshold=2.0)
+    assert miner.learn(spark, ["user a in", "user b in"]) == [1, 1]
+    assert miner.root(0) == 1 and miner.find("user a in") == miner.find("user c in") == 1
+
+
+def test_cover_candidates_against_brute_force(spark):
+    rnd = random.Random(6)
+    token = lambda: rnd.choice(["a", "b", "<*>", "x=<*>", "x=1", "x=2", "c", "", "<*>:<*>", "1:<*>"])
+    texts = sorted({" ".join(token() for _ in range(rnd.choice([1, 2, 3]))) for _ in range(150)})
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if covers(texts[i], texts[j])}
+    frame = spark.createDataFrame(list(enumerate(texts)), "tid long, template string")
+    got = [(r.a, r.b) for r in cover_pairs(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    index = CoverIndex()
+    for k, text in enumerate(texts):
+        index.put(k, text)
+    for i, j in want:
+        assert i in index.candidates(texts[j]) and j in index.candidates(texts[i])
+
+
 def test_failing_and_tagged_providers(spark):
     class Broken(Provider):
         def template(self, message, prompt=None):
@@ -126,6 +227,23 @@ def test_streaming_equals_one_batch(spark, tmp_path):
     assert online.lines(spark).count() == before
 
 
+def test_stream_of_log_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.log").write_text("".join(f"[t] app - open x{i} file {k}\n" for i in range(5)))
+    online = OnlineMiner(str(tmp_path / "out"))
+    online.start(log_stream(spark, str(tmp_path / "in"), "Proxifier", max_files=1)).awaitTermination()
+    got = online.lines(spark).collect()
+    assert sorted(r.LineId for r in got) == list(range(1, 21)) and len({r.EventTemplate for r in got}) == 1
+    versions = sorted(p.name for p in (tmp_path / "out/state").iterdir())
+    assert versions == ["batch=2", "batch=3"]
+    # A version that cannot be read is an error, and does not start from nothing.
+    for part in (tmp_path / "out/state/batch=3").glob("part-*"):
+        part.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        online.process(spark.createDataFrame([(99, "open x file")], "LineId long, Content string"), 4)
+
+
 def test_windowed_counts_on_a_stream(spark, tmp_path):
     events = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,id) as ts, concat('t', id % 2) as EventTemplate from range(48)")
     events.write.parquet(str(tmp_path / "e"))
@@ -154,7 +272,7 @@ def test_sampling(spark):
     texts = spark.createDataFrame([(0, "aaaa"), (1, "aaab"), (2, "zzzzzzzz"), (3, "aaaa")], "id long, text string")
     assert farthest_points(texts, 4) == [0, 2, 1]
     lines = spark.createDataFrame([(0, "a 1", "a <*>"), (1, "a 22222", "a <*>"), (2, "b 1", "b <*>"), (3, "c c c", "c c c")], "id long, text string, template string")
-    pairs = with_regex(pairs_near(lines, lines, reach=2, extra=2))
+    pairs = pairs_near(lines, lines, reach=2, extra=2)
     assert {r.id: r.n_id for r in hard_positives(pairs).collect()} == {0: 1, 1: 0}
     assert {r.id: r.n_id for r in hard_negatives(pairs).collect()}[0] == 2
     made = synth_positive("a <*> b", "a 12x b", 5)
