@@ -1,38 +1,58 @@
-"""The template trie: compressed constants, wildcards that stop at known characters.
+"""The template trie: which template a message has.
 
-Built on the driver from a template dimension, immutable while it matches. The order
-of insertion matters, because templates share wildcard nodes and their stops.
+A template matches a message by itself, whatever other templates there are:
+
+1. Constant characters are equal.
+2. A wildcard at the end of the template covers the rest of the message.
+3. Before a mark (a character that is no letter or digit) a wildcard ends at the first
+   place of that mark. ``prepared`` spreads a wildcard whose content held the mark.
+4. Before a letter or digit a wildcard ends at any place of it.
+
+Of several matching templates the first in trie order holds: at each place constants come
+before wildcards, and of those the one that ends first. Of equal templates the last
+inserted holds. So inserting a template never takes a match from a message, and a
+message is found right after a template fitted to it is inserted.
+
+The trie is built on the driver from a template dimension and immutable while it matches.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from millrace.functions.align import WILD, char_class
+from millrace.functions.align import WILD
 
 _CONSTANT = re.compile("[^<>* ]")
 
 
 @dataclass
 class Node:
-    """``text``: a constant's characters, or WILD; ``cid``: the template that may end here, or None."""
+    """What follows a common beginning: constants by their first character, and wildcards by what ends them.
 
-    text: str = ""
-    stops: list[str] = field(default_factory=list)
-    seen: list[str] = field(default_factory=list)
-    next: dict[str, Node] = field(default_factory=dict)
-    cid: int | None = None
+    ``constants`` leads from a character to the run that begins with it and the node behind the run.
+    ``wilds`` leads from the character after a wildcard, or "" at a template's end, to
+    the node at that character.
+    """
 
-    @property
-    def wild(self) -> bool:
-        return self.text == WILD
+    constants: dict[str, tuple[str, Node]] = field(default_factory=dict)
+    wilds: dict[str, Node] = field(default_factory=dict)
+    cid: int | None = None
 
-    def rest(self, message: str, at: int) -> int | None:
-        """Where matching goes on after this node, if it matches at ``at``."""
-        if not self.wild:
-            return at + len(self.text) if message.startswith(self.text, at) else None
-        return min((p for s in self.stops if s and (p := message.find(s, at)) >= 0), default=len(message))
+    def after(self, message: str, at: int) -> Iterator[tuple[Node, int]]:
+        """The nodes that can follow at a place of a message, and where each goes on; the preferred first."""
+        run, node = self.constants.get(message[at], ("", None))
+        if node is not None and message.startswith(run, at):
+            yield node, at + len(run)
+        ends = []
+        for stop, node in self.wilds.items():
+            place = message.find(stop, at) if stop else len(message)
+            while place >= 0:
+                ends.append((place, len(ends), node))
+                place = message.find(stop, place + 1) if stop.isalnum() else -1
+        for place, _, node in sorted(ends, key=lambda e: e[:2]):
+            yield node, place
 
 
 class Trie:
@@ -42,86 +62,48 @@ class Trie:
         self.root = Node()
 
     def find(self, message: str) -> int | None:
-        """Depth first: end here, then the constant child, then the wildcard child."""
-        todo = [(self.root, 0)]
+        """Depth first; what failed at a place is not tried there again."""
+        todo, failed = [iter([(self.root, 0)])], set()
         while todo:
-            node, at = todo.pop()
-            after = node.rest(message, at)
-            if after is None:
-                continue
-            if after == len(message):
+            node, at = next(todo[-1], (None, 0))
+            if node is None:
+                todo.pop()
+            elif at == len(message):
                 if node.cid is not None:
                     return node.cid
-                continue
-            if WILD in node.next:
-                todo.append((node.next[WILD], after))
-            if message[after] in node.next:
-                todo.append((node.next[message[after]], after))
+            elif (id(node), at) not in failed:
+                failed.add((id(node), at))
+                todo.append(node.after(message, at))
         return None
 
     def insert(self, template: str, contents: list[str], cid: int) -> None:
         """Add a template with the contents its wildcards had; one without any constant is not added."""
-        units, contents = prepared(template, contents)
+        units, _ = prepared(template, contents)
+        units = [u for u, before in zip(units, ["", *units], strict=False) if u != WILD or before != WILD]
         if not _CONSTANT.search("".join(units)):
             return
-        classes = iter(char_class(c) for c in contents)
-        node, at = self.root, 0
-        while at < len(units):
-            if units[at] not in node.next:
-                node = self._append(node, units[at:], classes)
-                break
-            parent, node = node, node.next[units[at]]
-            if node.wild:
-                node = self._share(parent, node, units[at + 1] if at + 1 < len(units) else "", next(classes, []))
-                at += 1
+        node, run = self.root, ""
+        for unit, following in zip(units, [*units[1:], ""], strict=True):
+            if unit == WILD:
+                node = self._behind(node, run).wilds.setdefault(following, Node())
+                run = ""
             else:
-                same = 0
-                while same < len(node.text) and at < len(units) and units[at] == node.text[same]:
-                    same, at = same + 1, at + 1
-                if same < len(node.text):
-                    self._split(node, same)
-        node.cid = cid
-
-    @staticmethod
-    def _append(node: Node, units: list[str], classes) -> Node:
-        """New nodes for ``units`` behind ``node``; the last of them."""
-        run = ""
-        for at, unit in enumerate([*units, None]):
-            if unit is not None and unit != WILD:
                 run += unit
-                continue
-            if run:
-                node.next[run[0]] = node = Node(run)
-                run = ""
-            if unit == WILD:
-                stops = [u for u in units[at + 1 : at + 2]]
-                node.next[WILD] = node = Node(WILD, stops, list(next(classes, [])))
-        return node
-
-    @staticmethod
-    def _split(node: Node, at: int) -> None:
-        """Cut a constant in two; what hung below it hangs below its second part."""
-        tail = Node(node.text[at:], next=node.next, cid=node.cid)
-        node.text, node.next, node.cid = node.text[:at], {tail.text[0]: tail}, None
+        self._behind(node, run).cid = cid
 
     @staticmethod
-    def _share(parent: Node, node: Node, stop: str, new: list[str]) -> Node:
-        """The wildcard node to go on from, when a template with the following unit ``stop`` comes to ``node``."""
-        if stop and stop in node.seen:
-            node.seen.remove(stop)
-            between = Node(stop, next={WILD: node})
-            node = Node(WILD, [stop], list(node.seen), {stop: between})
-            parent.next[WILD] = node
-        if stop not in node.stops:
-            node.stops.append(stop)
-        mark = next((s for s in new if not s.isalnum() and s in node.next), None)
-        while mark is not None:
-            node.seen += [s for s in new if s != mark and s not in node.seen]
-            below = node.next.get(mark)
-            if below is None or below.text != mark or WILD not in below.next:
-                return node
-            node = below.next[WILD]
-        node.seen += [s for s in new if s not in node.seen]
+    def _behind(node: Node, run: str) -> Node:
+        """The node behind a run of constants, cut in or added where it is missing."""
+        while run:
+            known, child = node.constants.get(run[0], (run, None))
+            same = next((k for k, (x, y) in enumerate(zip(known, run, strict=False)) if x != y), min(len(known), len(run)))
+            if child is None:
+                child = Node()
+                node.constants[run[0]] = (run, child)
+            elif same < len(known):
+                child = Node(constants={known[same]: (known[same:], child)})
+                node.constants[run[0]] = (known[:same], child)
+            node, run = child, run[same:]
         return node
 
 
@@ -132,19 +114,10 @@ def prepared(template: str, contents: list[str]) -> tuple[list[str], list[str]]:
     one that covers nothing goes. A first token that begins with a wildcard is that
     wildcard alone, with the token's whole text as content, and then so is the second.
     """
-    pieces, contents = template.split(WILD), [*contents, *[""] * template.count(WILD)]
-    out, kept = pieces[0], []
-    for content, after in zip(contents, pieces[1:], strict=False):
-        mark = after[:1] if after[:1] and not after[:1].isalnum() else ""
-        if mark and mark in content:
-            parts = content.split(mark)
-            out += mark.join([WILD] * len(parts))
-            kept += parts
-        elif content:
-            out += WILD
-            kept.append(content)
-        out += after
-    out = out.strip()
+    pieces, kept = _spread(template.split(WILD), [*contents, *[""] * template.count(WILD)])
+    covered = [bool(c) for c in kept]
+    out = pieces[0] + "".join(WILD * c + p for c, p in zip(covered, pieces[1:], strict=True))
+    kept, out = [c for c in kept if c], out.strip()
     for place in (0, 1):
         tokens = out.split(" ")
         if not tokens[0].startswith(WILD) or place >= len(tokens) or len(kept) <= place:
@@ -156,7 +129,19 @@ def prepared(template: str, contents: list[str]) -> tuple[list[str], list[str]]:
             kept[place : place + held] = [re.sub(r"<\*>", lambda _: next(filled, ""), token)]
             tokens[place] = WILD
             out = " ".join(tokens)
-    return _units(out), kept
+    pieces, kept = _spread(out.split(WILD), [*kept, *[""] * out.count(WILD)])
+    return _units(WILD.join(pieces)), kept
+
+
+def _spread(pieces: list[str], contents: list[str]) -> tuple[list[str], list[str]]:
+    """The constants around wildcards, and the contents, with wildcards spread over the marks that follow them."""
+    out, kept = pieces[:1], []
+    for content, after in zip(contents, pieces[1:], strict=False):
+        mark = after[:1]
+        parts = content.split(mark) if mark and not mark.isalnum() else [content]
+        out += [mark] * (len(parts) - 1) + [after]
+        kept += parts
+    return out, kept
 
 
 def _units(template: str) -> list[str]:
