@@ -31,12 +31,12 @@ def parse(spark, args) -> None:
     structured, templates = outputs(miner.mine(lines))
     sinks.write_structured(structured, f"{args.out}/structured", "overwrite")
     sinks.write_templates(templates, f"{args.out}/templates", "overwrite")
-    print(f"{len(miner.live())} templates, {miner.asked} proposals asked for")
+    print(f"{len(miner.live())} templates, {miner.asked} proposals and {miner.asked_same} merges asked for")
 
 
 def groundtruth(spark, args) -> None:
     lines = readers.load_log(spark, args.log, args.format)
-    notes = readers.read_csv(spark, args.annotations, readers.ANNOTATION_SCHEMA).withColumn("pos", F.monotonically_increasing_id())
+    notes = readers.load_annotations(spark, args.annotations)
     structured, templates = build_groundtruth(lines, notes)
     sinks.write_structured(structured, f"{args.out}/structured", "overwrite")
     sinks.write_csv(templates, f"{args.out}/templates", "overwrite")

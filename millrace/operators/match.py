@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import template_to_regex
+from millrace.functions.text import WILD, template_to_regex
 from millrace.operators.trie import Trie
+from millrace.staging import staged
 
 
 def trie_match(df: DataFrame, trie: Trie, message: str = "message", name: str = "cid") -> DataFrame:
@@ -48,22 +50,70 @@ def regex_match(messages: DataFrame, templates: DataFrame) -> DataFrame:
     return keyed.union(free).groupBy("id").agg(F.min("tid").alias("tid"))
 
 
+class CoverIndex:
+    """Keyed templates, found by what they have in common with one that may cover them.
+
+    Where one template covers another both have the same spaces, and the tokens between
+    them are equal or one of the two has a wildcard.
+    """
+
+    def __init__(self) -> None:
+        self.tokens: dict[int, list[str]] = {}
+        self.at: dict[tuple[int, int, str], set[int]] = defaultdict(set)
+
+    @staticmethod
+    def _places(tokens: list[str]) -> list[tuple[int, int, str]]:
+        return [(len(tokens), i, WILD if WILD in t else t) for i, t in enumerate(tokens)]
+
+    def put(self, key: int, template: str) -> None:
+        self.drop(key)
+        self.tokens[key] = template.split(" ")
+        for place in self._places(self.tokens[key]):
+            self.at[place].add(key)
+
+    def drop(self, key: int) -> None:
+        for place in self._places(self.tokens.pop(key, [])):
+            self.at[place].discard(key)
+
+    def candidates(self, template: str) -> list[int]:
+        """Rising keys of the templates that may cover ``template`` or be covered by it."""
+        tokens = template.split(" ")
+        either = lambda n, i, t: (self.at.get((n, i, t), ()), self.at.get((n, i, WILD), ()))
+        few = min((either(*p) for p in self._places(tokens) if p[2] != WILD), key=lambda e: len(e[0]) + len(e[1]), default=None)
+        keys = [k for k, other in self.tokens.items() if len(other) == len(tokens)] if few is None else [*few[0], *few[1]]
+        fits = lambda x, y: x == y or WILD in x or WILD in y
+        return sorted(k for k in keys if all(map(fits, self.tokens[k], tokens)))
+
+
 def cover_pairs(templates: DataFrame) -> DataFrame:
-    """a, b (a < b): the pairs of templates (tid, template) of which one covers the other.
+    """a, b (a < b): the pairs of different templates (tid, template) of which one covers the other.
 
-    Only templates with a common alphanumeric token are compared.
+    At least one of a pair has a wildcard. A template without any meets those whose rarest
+    part it has: a part is an alphanumeric unit with the number of tokens and the token's
+    place. Templates with wildcards meet where they share a part. Then tokens are compared
+    in place, and what is left is aligned.
     """
     from millrace.functions.align import covers_udf
     from millrace.functions.text import word_units
 
-    words = F.array_distinct(F.filter(word_units(F.col("template"), ""), lambda w: w.rlike("[a-zA-Z0-9]")))
-    index = templates.select("tid", F.explode(words).alias("w"))
-    pairs = index.alias("x").join(index.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.tid") < F.col("y.tid")))
-    pairs = pairs.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
-    named = pairs.join(templates.select(F.col("tid").alias("a"), F.col("template").alias("ta")), "a").join(
-        templates.select(F.col("tid").alias("b"), F.col("template").alias("tb")), "b"
-    )
-    return named.where(covers_udf("ta", "tb")).select("a", "b")
+    tokens = F.split("template", " ", -1)
+    part = lambda n, i, w: F.concat_ws(" ", n.cast("string"), i.cast("string"), w)
+    words = lambda t: F.filter(word_units(t, ""), lambda w: w.rlike("[a-zA-Z0-9]"))
+    parts = F.flatten(F.transform("tokens", lambda t, i: F.transform(words(t), lambda w: part(F.size("tokens"), i, w))))
+    known = templates.select("tid", "template", tokens.alias("tokens"), F.contains("template", F.lit(WILD)).alias("wild"))
+    known = staged(known.withColumn("parts", F.array_distinct(parts)), "cover")
+    facts = ["tid", "template", "tokens", "parts"]
+    keyed = known.select(*facts, "wild", F.explode("parts").alias("part"))
+    often = keyed.groupBy("part").agg(F.count("*").alias("n"))
+    wild = keyed.where("wild")
+    rarest = wild.join(often, "part").groupBy("tid").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+    other = lambda df: df.select("part", *(F.col(c).alias(f"o_{c}") for c in facts))
+    plain = wild.join(rarest, ["tid", "part"]).join(other(keyed.where("not wild")), "part")
+    both = wild.join(other(wild), "part").where("tid < o_tid")
+    both = both.where(F.col("part") == F.array_min(F.array_intersect("parts", "o_parts")))  # once a pair
+    fits = F.forall(F.zip_with("tokens", "o_tokens", lambda x, y: (x == y) | F.contains(x, F.lit(WILD)) | F.contains(y, F.lit(WILD))), lambda ok: ok)
+    pairs = plain.union(both.select(*plain.columns)).where(fits)
+    return pairs.where(covers_udf("template", "o_template")).select(F.least("tid", "o_tid").alias("a"), F.greatest("tid", "o_tid").alias("b"))
 
 
 def template_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -80,14 +80,16 @@ class Http(Callback):
         return self._call("chat/completions", body)["choices"][0]["message"]["content"]
 
 
-def ask_all(provider: Provider, jobs: list[tuple[str, str | None]], at_once: int = 50) -> list[str | None]:
-    """Templates of (message, prompt) jobs, at most ``at_once`` outstanding; a failed job gives None."""
+def ask_all(ask: Callable, jobs: list[tuple], at_once: int = 50) -> list:
+    """Answers to jobs (the arguments of ``ask``), at most ``at_once`` outstanding; a failed job gives None."""
 
-    def one(job: tuple[str, str | None]) -> str | None:
+    def one(job: tuple):
         try:
-            return provider.template(*job)
+            return ask(*job)
         except Exception:  # noqa: BLE001  a provider's failure must not stop the others
             return None
 
+    if len(jobs) < 2:
+        return [one(job) for job in jobs]
     with ThreadPoolExecutor(max_workers=at_once) as pool:
         return list(pool.map(one, jobs))
