@@ -26,15 +26,10 @@ def build_groundtruth(lines: DataFrame, annotations: DataFrame, order: str = "po
     table = last_per_key(annotations, "Content", "EventTemplate", order)
     found = lookup(lines.select("LineId", "Content"), table, "Content", "EventTemplate", NO_TEMPLATE)
     events = event_ids(found)
-    structured = found.join(F.broadcast(events.drop("Occurrences")) if _small(events) else events.drop("Occurrences"), "EventTemplate")
+    structured = found.join(events.drop("Occurrences"), "EventTemplate")
     return structured.select("LineId", "Content", "EventId", "EventTemplate"), events.select("EventId", "EventTemplate", "Occurrences")
 
 
-def _small(events: DataFrame, most: int = 100_000) -> bool:
-    """Whether a template dimension is small enough to broadcast, by its counted rows."""
-    return len(events.select("EventId").head(most + 1)) <= most
-
-
 def assign_events(lines: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
     """``lines`` with EventId and EventTemplate of the cluster each belongs to, or -1 and an empty template.
 

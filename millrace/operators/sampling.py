@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.align import wild_align
+from millrace.functions.align import arrow_function, wild_align
 from millrace.functions.text import template_to_regex
-from millrace.operators.relational import hash_sample, neighbourhood
+from millrace.operators.relational import hash_sample, neighbourhood, prefix_sample
+from millrace.staging import discard, staged
 
 
 def farthest_points(texts: DataFrame, n: int, key: str = "id", text: str = "text") -> list[int]:
@@ -16,45 +20,52 @@ def farthest_points(texts: DataFrame, n: int, key: str = "id", text: str = "text
     It starts from the smallest key. ``texts`` is a bounded sample (see ``hash_sample``);
     every step is one pass that keeps the distance to the chosen set.
     """
-    now = texts.select(F.col(key).alias("k"), F.col(text).alias("x"), F.lit(1 << 30).alias("d"))
+    now = staged(texts.select(F.col(key).alias("k"), F.col(text).alias("x"), F.lit(1 << 30).alias("d")), "farthest")
     first = now.orderBy("k").head()
     chosen: list[int] = []
     while first is not None and len(chosen) < n:
         chosen.append(first.k)
-        now = now.withColumn("d", F.least("d", F.levenshtein("x", F.lit(first.x)))).persist()
+        nearer = staged(now.withColumn("d", F.least("d", F.levenshtein("x", F.lit(first.x)))), "farthest")
+        discard(now)
+        now = nearer
         first = now.where("d > 0").orderBy(F.desc("d"), "k").head()
+    discard(now)
     return chosen
 
 
 def example_pool(lines: DataFrame, rate: float, n: int, seed: int = 0) -> DataFrame:
     """A seeded sample of ``n`` lines of the first ``rate`` of all (LineId, ...)."""
-    from millrace.operators.relational import prefix_sample
-
     return hash_sample(prefix_sample(lines, rate), n, "LineId", seed)
 
 
 def pairs_near(lines: DataFrame, queries: DataFrame, reach: int = 50, extra: int = 32, seed: int = 0) -> DataFrame:
-    """Each query beside its candidates: the lines up to ``reach`` places away and a seeded sample of ``extra`` lines.
+    """Each query beside its candidates, each once: the lines up to ``reach`` places away and a seeded sample of ``extra`` lines.
 
-    Both frames have id, text and template; candidates' columns have a leading ``n_``,
-    and ``distance`` is the edit distance of the texts.
+    Both frames have id, text and template; candidates' columns have a leading ``n_``.
     """
     near = neighbourhood(queries, lines, "id", reach)
     drawn = hash_sample(lines, extra, "id", seed).select(*(F.col(c).alias(f"n_{c}") for c in lines.columns))
-    far = queries.crossJoin(F.broadcast(drawn)).where("id <> n_id").select(*near.columns)  # `extra` rows
-    return near.union(far).distinct().withColumn("distance", F.levenshtein("text", "n_text"))
+    far = queries.crossJoin(F.broadcast(drawn)).where(F.abs(F.col("id") - F.col("n_id")) > reach)  # `extra` rows
+    return near.unionByName(far)
+
+
+def _fits() -> Column:
+    """Whether a candidate matches the query's template."""
+    return F.expr("n_text rlike regex")
 
 
 def hard_negatives(pairs: DataFrame) -> DataFrame:
-    """id, n_id: the nearest candidate that another template made and this one does not match."""
-    other = pairs.where(~F.expr("n_text rlike regex") & (F.col("n_template") != F.col("template")))
-    return other.groupBy("id").agg(F.min_by("n_id", F.struct("distance", "n_id")).alias("n_id"))
+    """id, n_id: the nearest candidate, by edit distance, that another template made and this one does not match."""
+    other = with_regex(pairs.where(F.col("n_template") != F.col("template"))).where(~_fits())
+    place = F.struct(F.levenshtein("text", "n_text"), "n_id")
+    return other.groupBy("id").agg(F.min_by("n_id", place).alias("n_id"))
 
 
 def hard_positives(pairs: DataFrame) -> DataFrame:
     """id, n_id: the farthest candidate of the same template."""
-    same = pairs.where(F.expr("n_text rlike regex") & (F.col("n_template") == F.col("template")))
-    return same.groupBy("id").agg(F.max_by("n_id", F.struct("distance", -F.col("n_id"))).alias("n_id"))
+    same = with_regex(pairs.where(F.col("n_template") == F.col("template"))).where(_fits())
+    place = F.struct(F.levenshtein("text", "n_text"), -F.col("n_id"))
+    return same.groupBy("id").agg(F.max_by("n_id", place).alias("n_id"))
 
 
 def with_regex(pairs: DataFrame) -> DataFrame:
@@ -72,3 +83,12 @@ def synth_positive(template: str, message: str, seed: int = 0) -> str:
             out += str((int(c) + 1 + place % 9) % 10) if c.isdecimal() else c
         out += after
     return out
+
+
+def _synth_series(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for template, message, seed in parts:
+        yield pd.Series([synth_positive(*row) for row in zip(template, message, seed.tolist(), strict=True)], dtype=object)
+
+
+#: ``synth_positive`` of (template, message, seed) columns.
+synth_positive_udf = arrow_function(_synth_series, "string", 3, pd.Series)

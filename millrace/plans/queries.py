@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.align import merge_templates_udf, wild_align_udf
-from millrace.functions.rules import collapse, mask_common, mask_digits, mask_paths, mask_word_variables, rewrite
+from millrace.functions.rules import REWRITES, collapse, correct_template, mask_common, mask_digits, mask_paths, mask_word_variables, rewritten
 from millrace.operators import evaluate as ev
 from millrace.operators import relational as rel
 from millrace.operators import sampling, similarity
@@ -23,9 +23,11 @@ from millrace.operators.match import cover_pairs, regex_match, template_upsert,
 from millrace.operators.trie import build
 from millrace.plans import views as v
 from millrace.plans.engine import Miner
-from millrace.plans.prompts import EXTRACT, EXTRACT_EXAMPLE, extract_prompt
+from millrace.plans.prompts import EXTRACT, EXTRACT_EXAMPLE, MERGE, MERGE_EXAMPLE, extract_prompt, merge_prompt
+from millrace.sources import readers, sinks
 from millrace.sources.formats import compile_format, malformed_lines, parse_lines
 from millrace.sources.sinks import transposed
+from millrace.staging import new_path
 from millrace.streaming.online import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -382,17 +384,21 @@ def assign_events_to_lines(spark, sf_dir):
 QUERIES["assign_events"], ORACLE["assign_events"] = QUERIES.pop("assign_events_to_lines"), ORACLE.pop("assign_events_to_lines")
 
 
-@register("""with recursive r as (select n_nationkey as cid, n_nationkey as root from nation
+@register("""with recursive r as (select p_partkey as cid, p_partkey as root from part
     union all select cid, root // 2 from r where root > 0) select cid, min(root) as root from r group by cid""")
 def redirect_roots(spark, sf_dir):
-    """The last redirect of a chain in which every id points to its half."""
-    nation = v.table(spark, sf_dir, "nation").selectExpr("n_nationkey as cid", "n_nationkey div 2 as next")
-    return rel.roots(nation)
+    """The last redirect of chains in which every part's key points to its half."""
+    links = v.table(spark, sf_dir, "part").selectExpr("p_partkey as cid", "p_partkey div 2 as next")
+    return rel.roots(links)
 
 
-@register("""select n_nationkey as live, row_number() over (order by n_nationkey) - 1 as cid from nation where n_nationkey % 3 <> 1""")
+_LIVE_SQL = f"(select template, min(id) as live from {v.PARTS_SQL} group by template)"
+
+
+@register(f"select live, template, row_number() over (order by live) - 1 as cid from {_LIVE_SQL}")
 def renumber_clusters(spark, sf_dir):
-    live = v.table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 1").select(F.col("n_nationkey").alias("live"))
+    """Templates of parts, known by their first part, numbered without gaps."""
+    live = v.parts(spark, sf_dir).groupBy("template").agg(F.min("id").alias("live"))
     return rel.renumber(live, "live", "cid").withColumn("cid", F.col("cid").cast("long"))
 
 
@@ -452,14 +458,15 @@ def nearest_template(spark, sf_dir):
     return similarity.nearest_template(v.parts(spark, sf_dir), labels)
 
 
-@register(f"""with m as (select id, {_LETTERED_SQL.format('text')} as tokens from {v.PARTS_SQL}), p as (select id as pid, {_LETTERED_SQL.format('text')} as toks from {v.PARTS_SQL} where id < 40),
+@register(f"""with m as (select id, {_LETTERED_SQL.format('text')} as tokens from {v.PARTS_SQL}), p as (select live as pid, {_LETTERED_SQL.format('template')} as toks from {_LIVE_SQL}),
     w as (select id, len(tokens) as n, unnest(tokens) as token from m), q as (select pid, len(toks) as pn, unnest(list_distinct(toks)) as token from p),
     s as (select id, pid, round(count(*) / ((n + pn) // 2), 6) as score from w join q using (token) group by id, pid, n, pn)
     select id, arg_min(pid, -score * 1000000000 + pid) as pid, max(score) as score from s group by id""")
 def pending_similarity(spark, sf_dir):
-    """The most similar of forty pending messages for every part."""
-    parts = v.parts(spark, sf_dir).select("id", "text")
-    return similarity.pending_similarity(parts, parts.where("id < 40").select(F.col("id").alias("pid"), "text"))
+    """The most similar pending message for every part; each template of parts is pending, known by its first part."""
+    parts = v.parts(spark, sf_dir)
+    pending = parts.groupBy("template").agg(F.min("id").alias("pid")).select("pid", F.col("template").alias("text"))
+    return similarity.pending_similarity(parts.select("id", "text"), pending)
 
 
 @register(f"""with a as (select id, unnest(list_distinct({_ALPHA_SQL.format('text')})) as token from {v.PARTS_SQL}),
@@ -476,12 +483,17 @@ def token_set_ops(spark, sf_dir):
 
 
 def _examples(spark, sf_dir):
-    """Thirty-two parts as examples; the brand is variable."""
-    return v.parts(spark, sf_dir).where("id < 32").select("id", "text", "template", F.array("p_brand").alias("contents"))
+    """A seeded sample of thirty-two parts as examples; the brand is variable."""
+    drawn = rel.hash_sample(v.parts(spark, sf_dir), 32, "id")
+    return drawn.select("id", "text", "template", F.array("p_brand").alias("contents"))
+
+
+def _drawn_sql(view: str, n: int, key: str, seed: int = 0) -> str:
+    return f"(select * from {view} order by md5('{seed}:' || cast({key} as varchar)), {key} limit {n})"
 
 
 _TOK_SQL = "list_transform(regexp_extract_all(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '(?:\\p{{N}}+ )*\\p{{N}}*\\p{{L}}[\\p{{L}}\\p{{N}}]*'), lambda t: replace(t, ' ', ''))"
-_EXAMPLES_SQL = f"""e as (select id, template, p_brand from {v.PARTS_SQL} where id < 32),
+_EXAMPLES_SQL = f"""e as (select id, template, p_brand from {_drawn_sql(v.PARTS_SQL, 32, 'id')}),
     c as (select id, unnest(list_distinct({_TOK_SQL.format('template')})) as token from e),
     d as (select id, unnest(list_distinct({_TOK_SQL.format('p_brand')})) as token from e),
     per as (select id, token, sum(c) as c, sum(d) as d from (select id, token, 1 as c, 0 as d from c union all select id, token, 0, 1 from d) group by all),
@@ -507,37 +519,40 @@ def example_knn(spark, sf_dir):
 
 # -- sampling -------------------------------------------------------------------------------
 
-_NEAR_SQL = f"""n as (select a.id, b.id as n_id, levenshtein(a.text, b.text) as distance, a.template = b.template as same
-    from {v.PARTS_SQL} a join {v.PARTS_SQL} b on b.id between a.id - 50 and a.id + 50 and b.id <> a.id)"""
+_RE_SQL = "'^' || replace(replace(regexp_replace({}, '([\\\\()\\[\\]{{}}.+?|^$])', '\\\\\\1', 'g'), '<*>', '(.+)'), '*', '\\*') || '$'"
+_NEAR_SQL = f"""n as (select a.id, b.id as n_id, levenshtein(a.text, b.text) as distance, a.template = b.template as same, regexp_matches(b.text, a.re) as fits
+    from (select *, {_RE_SQL.format('template')} as re from {v.PARTS_SQL}) a join {v.PARTS_SQL} b on b.id <> a.id
+    and (b.id between a.id - 50 and a.id + 50 or b.id in (select id from {_drawn_sql(v.PARTS_SQL, 32, 'id')})))"""
 
 
 def _near_pairs(spark, sf_dir):
-    """Every part beside those up to 50 places away."""
+    """Every part beside those up to 50 places away and 32 drawn ones."""
     parts = v.parts(spark, sf_dir).select("id", "text", "template")
-    return sampling.with_regex(sampling.pairs_near(parts, parts, reach=50, extra=0))
+    return sampling.pairs_near(parts, parts, reach=50, extra=32)
 
 
-@register(f"with {_NEAR_SQL} select id, n_id from n")
+@register(f"select a.id, b.id as n_id from {v.PARTS_SQL} a join {v.PARTS_SQL} b on b.id <> a.id and b.id between a.id - 50 and a.id + 50")
 def neighbourhood(spark, sf_dir):
     """The band join on row places."""
     parts = v.parts(spark, sf_dir).select("id")
     return rel.neighbourhood(parts, parts, "id", 50)
 
 
-@register(f"with {_NEAR_SQL} select id, arg_min(n_id, distance * 100000000 + n_id) as n_id from n where not same group by id")
+@register(f"with {_NEAR_SQL} select id, arg_min(n_id, distance * 100000000 + n_id) as n_id from n where not same and not fits group by id")
 def hard_negative(spark, sf_dir):
     return sampling.hard_negatives(_near_pairs(spark, sf_dir))
 
 
-@register(f"with {_NEAR_SQL} select id, arg_max(n_id, distance * 100000000 - n_id) as n_id from n where same group by id")
+@register(f"with {_NEAR_SQL} select id, arg_max(n_id, distance * 100000000 - n_id) as n_id from n where same and fits group by id")
 def hard_positive(spark, sf_dir):
     return sampling.hard_positives(_near_pairs(spark, sf_dir))
 
 
 def _farthest_sql(steps: int) -> str:
-    """The greedy choice unrolled."""
-    names = f"(select n_nationkey as id, concat(n_name, repeat('x', cast(n_nationkey % 7 as int))) as text from nation)"
-    sql = f"with s0 as (select id, text, {1 << 30} as d, (select min(id) from {names}) as pick from {names})"
+    """The greedy choice unrolled over the pool."""
+    lines = f"(select LineId, Content, count(*) over () as n from {v.EVENTS_SQL})"
+    drawn = _drawn_sql(f"(select LineId as id, Content as text from {lines} where (LineId - 1) / n <= 0.2)", 1024, "id", 3)
+    sql = f"with pool as materialized {drawn}, s0 as (select id, text, {1 << 30} as d, (select min(id) from pool) as pick from pool)"
     for k in range(1, steps):
         last = f"s{k - 1}"
         sql += f""", u{k} as (select id, text, least(d, levenshtein(text, (select text from {last} where id = pick limit 1))) as d from {last}),
@@ -547,13 +562,13 @@ def _farthest_sql(steps: int) -> str:
 
 @register(_farthest_sql(6))
 def farthest_point(spark, sf_dir):
-    """Six names, each the farthest from those before it."""
-    names = v.table(spark, sf_dir, "nation").selectExpr("n_nationkey as id", "concat(n_name, repeat('x', cast(n_nationkey % 7 as int))) as text")
-    chosen = sampling.farthest_points(names, 6)
+    """Six lines of a pool of 1,024 events, each the farthest from those before it."""
+    pool = sampling.example_pool(v.events(spark, sf_dir), 0.2, 1024, seed=3)
+    chosen = sampling.farthest_points(pool.select(F.col("LineId").alias("id"), F.col("Content").alias("text")), 6)
     return spark.createDataFrame([(k + 1, i) for k, i in enumerate(chosen)], "step int, id long")
 
 
-@register()
+@register(f"""select LineId as "LineId", Content as "Content" from {_drawn_sql(v.EVENTS_SQL, 32, 'LineId', 7)}""")
 def hash_sample(spark, sf_dir):
     """A repeatable sample of 32 events."""
     return rel.hash_sample(v.events(spark, sf_dir).select("LineId", "Content"), 32, "LineId", seed=7)
@@ -562,34 +577,45 @@ def hash_sample(spark, sf_dir):
 @register()
 def synth_positive(spark, sf_dir):
     """Parts with other digits in their variable."""
-
-    def make(rows):
-        return [sampling.synth_positive(t, x, i) for i, x, t in rows]
-
-    other = F.udf(lambda i, x, t: make([(i, x, t)])[0], "string", useArrow=True)
-    return v.parts(spark, sf_dir).select("id", "text", other("id", "text", "template").alias("positive"))
+    return v.parts(spark, sf_dir).select("id", "text", sampling.synth_positive_udf("template", "text", "id").alias("positive"))
 
 
 # -- accuracy -------------------------------------------------------------------------------
 
 _PARSED = "case when event_type = 'error' then if(value > 100, 'error high', 'error low') when event_type in ('click', 'view') then 'click or view' else event_type end"
 _PARSED_SQL = "case when event_type = 'error' then case when value > 100 then 'error high' else 'error low' end when event_type in ('click', 'view') then 'click or view' else event_type end"
+#: Lines of small values have no truth.
+_TRUE = "case when value >= 2 then event_type end"
+# Templates of the exact groups: sign-ups have a listed pair, purchases differ, others are equal after rewriting.
+_TRUE_NAME = "case {0} when 'signup' then 'session opened for user <*> by <*>' when 'purchase' then 'purchase of <*>' else concat({0}, ' (<*>)') end"
+_PARSED_NAME = "case {0} when 'signup' then 'session opened for user <*> by <*>(uid=<*>)' when 'purchase' then 'bought <*>' else concat({0}, ' <*>') end"
 
 
 def _truth_and_parse(spark, sf_dir):
-    """Truth by event type; a parse that splits one type and joins two others; their template tables."""
+    """Truth by event type, with nulls; a parse that splits one type and joins two others; their template tables."""
     lines = v.events(spark, sf_dir)
-    truth = lines.select("LineId", F.col("event_type").alias("EventId"))
+    truth = lines.select("LineId", F.expr(_TRUE).alias("EventId"))
     parsed = lines.select("LineId", F.expr(_PARSED).alias("EventId"))
-    own = lambda df, mark: df.select("EventId").distinct().withColumn("EventTemplate", F.concat("EventId", F.lit(mark)))
-    return truth, parsed, own(truth, " (<*>)"), own(parsed, " <*>")
+    own = lambda df, name: df.where("EventId is not null").select("EventId").distinct().withColumn("EventTemplate", F.expr(name.format("EventId")))
+    return truth, parsed, own(truth, _TRUE_NAME), own(parsed, _PARSED_NAME)
+
 
+def _truth_twice(spark, sf_dir):
+    """The truth as a parse of itself, with other names and equivalent templates."""
+    truth, _, names, _ = _truth_and_parse(spark, sf_dir)
+    parsed = truth.withColumn("EventId", F.concat(F.lit("p "), "EventId"))
+    return truth, parsed, names, names.select(F.concat(F.lit("p "), "EventId").alias("EventId"), F.replace("EventTemplate", F.lit("<*>"), F.lit('"<*>"')).alias("EventTemplate"))
 
-_EVAL_SQL = f"""with l as (select LineId, event_type as t, {_PARSED_SQL} as p from {v.EVENTS_SQL}),
+
+_EVAL_SQL = f"""with l as (select LineId, {_TRUE} as t, {_PARSED_SQL} as p from {v.EVENTS_SQL} where value >= 2),
     n as (select t, p, count(*) as n from l group by all),
     x as (select t, p, n from n where n = (select sum(n) from n a where a.t = n.t) and n = (select sum(n) from n b where b.p = n.p)),
     g as (select coalesce((select sum(n) from x), 0) / (select count(*) from l) as ga, (select count(*) from x) / (select count(distinct p) from l) as pga,
-        (select count(*) from x) / (select count(distinct t) from l) as rga)"""
+        (select count(*) from x) / (select count(distinct t) from l) as rga),
+    y as (select t, n from (select *, {_TRUE_NAME.format('t')} as a, {_PARSED_NAME.format('p')} as b from x)
+        where (a = 'session opened for user <*> by <*>' and b = 'session opened for user <*> by <*>(uid=<*>)') or replace(replace(a, '(', ''), ')', '') = b),
+    k as (select coalesce((select sum(n) from y), 0) / (select count(*) from l) as pa, (select count(*) from y) / (select count(distinct p) from l) as pta,
+        (select count(*) from y) / (select count(distinct t) from l) as rta)"""
 
 
 @register(_EVAL_SQL + """ select round(ga, 6) as "GA", round(pga, 6) as "PGA", round(rga, 6) as "RGA" from g""")
@@ -598,26 +624,26 @@ def eval_grouping(spark, sf_dir):
     return ev.grouping_accuracy(truth, parsed).select(*(F.round(c, 6).alias(c) for c in ("GA", "PGA", "RGA")))
 
 
-# In the tables below equal names are equal templates after rewriting: the parentheses go.
-@register(_EVAL_SQL + """ select round(ga, 6) as "PA", round(pga, 6) as "PTA", round(rga, 6) as "RTA" from g""")
+@register(_EVAL_SQL + """ select round(pa, 6) as "PA", round(pta, 6) as "PTA", round(rta, 6) as "RTA" from k""")
 def eval_templates(spark, sf_dir):
     return ev.template_accuracy(*_truth_and_parse(spark, sf_dir)).select(*(F.round(c, 6).alias(c) for c in ("PA", "PTA", "RTA")))
 
 
 @register(_EVAL_SQL + """ select round(ga, 6) as "GA", round(pga, 6) as "PGA", round(rga, 6) as "RGA", round(2 * pga * rga / (pga + rga), 6) as "FGA",
-    round(ga, 6) as "PA", round(pga, 6) as "PTA", round(rga, 6) as "RTA", round(2 * pga * rga / (pga + rga), 6) as "FTA" from g""")
+    round(pa, 6) as "PA", round(pta, 6) as "PTA", round(rta, 6) as "RTA", round(2 * pta * rta / (pta + rta), 6) as "FTA" from g, k""")
 def eval_summary(spark, sf_dir):
     found = ev.evaluate(*_truth_and_parse(spark, sf_dir))
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
 
-@register(_EVAL_SQL + """, m as (select 'GA' as metric, round(ga, 6) as value from g union all select 'FGA', round(2 * pga * rga / (pga + rga), 6) from g)
-    select metric, value as "events", value as "again" from m""")
+# The second data set is the truth itself, its templates equal after rewriting.
+@register(_EVAL_SQL + """, m as (select 'GA' as metric, round(ga, 6) as value, 1.0 as own from g union all select 'FGA', round(2 * pga * rga / (pga + rga), 6), 1.0 from g
+    union all select 'PA', round(pa, 6), 1.0 from k union all select 'FTA', round(2 * pta * rta / (pta + rta), 6), 1.0 from k)
+    select metric, value as "events", cast(own as double) as "truth" from m""")
 def benchmark_pivot(spark, sf_dir):
     """Metrics as rows and data sets as columns."""
-    one = ev.evaluate(*_truth_and_parse(spark, sf_dir)).select(F.round("GA", 6).alias("GA"), F.round("FGA", 6).alias("FGA"))
-    both = one.select(F.explode(F.array(F.lit("events"), F.lit("again"))).alias("Dataset"), "GA", "FGA")
-    return transposed(both)
+    scores = lambda rows, name: ev.evaluate(*rows).select(F.lit(name).alias("Dataset"), *(F.round(c, 6).alias(c) for c in ("GA", "FGA", "PA", "FTA")))
+    return transposed(scores(_truth_and_parse(spark, sf_dir), "events").unionAll(scores(_truth_twice(spark, sf_dir), "truth")))
 
 
 @register(f"""select date_trunc('day', ts)::timestamp as window_start, {_TEMPLATE_SQL} as "EventTemplate", count(*) as "Occurrences" from {v.EVENTS_SQL} group by 1, 2""")
@@ -645,9 +671,9 @@ def merge_templates(spark, sf_dir):
 
 @register()
 def cover_join(spark, sf_dir):
-    """Which templates of parts cover each other."""
-    whole = v.parts(spark, sf_dir).select(F.col("text").alias("template")).where("id < 200").distinct()
-    both = _part_templates(spark, sf_dir).select("template").union(whole).distinct()
+    """Which texts and templates of parts cover each other."""
+    parts = v.parts(spark, sf_dir)
+    both = parts.select("template").union(parts.select("text")).distinct()
     return cover_pairs(rel.renumber(both, "template", "tid"))
 
 
@@ -658,10 +684,11 @@ def trie_match_counts(spark, sf_dir):
     events = lines.groupBy("EventTemplate").agg(F.min("LineId").alias("first"), F.min_by("Content", "LineId").alias("Content"), F.count("*").alias("n"))
     known = events.select("EventTemplate", "first", wild_align_udf("EventTemplate", "Content")["contents"].alias("contents")).orderBy("first").collect()  # a row a template
     trie = build([(k + 1, r.EventTemplate, r.contents) for k, r in enumerate(known)])
-    found = trie_match(lines.select("Content"), trie, "Content")
+    messages = lines.groupBy("Content").agg(F.count("*").alias("n"))
+    found = trie_match(messages, trie, "Content")
     names = spark.createDataFrame([(k + 1, r.EventTemplate) for k, r in enumerate(known)], "cid long, EventTemplate string")
-    named = found.join(names, "cid").select(F.concat(F.lit("E"), F.col("cid").cast("string")).alias("EventId"), "EventTemplate")
-    return template_counts(named)
+    counts = found.groupBy("cid").agg(F.sum("n").alias("Occurrences")).join(names, "cid")
+    return counts.select(F.concat(F.lit("E"), F.col("cid").cast("string")).alias("EventId"), "EventTemplate", "Occurrences")
 
 
 QUERIES["trie_match"], ORACLE["trie_match"] = QUERIES.pop("trie_match_counts"), ORACLE.pop("trie_match_counts")
@@ -674,8 +701,158 @@ def online_parse(spark, sf_dir):
     return mined.groupBy("EventTemplate").agg(F.count("*").alias("Occurrences"))
 
 
-@register()
+_FRAMED = ["[{}]", "({})", "{{ {} }}", "'{}'", "\"{}\"", "{}:", "{}.", "{} KB", "BP-{}", "x.{}", "..{}", "+{}", "{}-{}", "{};", "#{}", "http://{}"]
+
+
+def _framed(sql: bool) -> str:
+    """Text of a part's template whose wildcards stand in one of the frames, two deep, by name and type."""
+    text = "replace(template, ' / ', ' <*> ')"
+    for column, at in (("p_name", 2), ("p_type", 1)):
+        pick = f"length({column}) % {len(_FRAMED)}" if at == 1 else f"(length({column}) * 7 + ascii({column})) % {len(_FRAMED)}"
+        quote = lambda x: "'" + x.format("<*>", "<*>").replace("'", "''" if sql else "\\'") + "'"
+        cases = " ".join(f"when {k} then {quote(f)}" for k, f in enumerate(_FRAMED))
+        text = f"replace({text}, '<*>', case {pick} {cases} end)"
+    return text
+
+
+def _rewrites_sql() -> str:
+    """The rewrites in order, each four times, a step a subquery."""
+    sql = f"(select distinct {_framed(True)} as t, {_framed(True)} as r from {v.PARTS_SQL})"
+    for pattern, to in REWRITES:
+        rule = pattern.replace("'", "''")
+        once = lambda x: f"regexp_replace({x}, '{rule}', '{to}', 'g')"  # noqa: E731, B023
+        sql = f"(select t, {once(once(once(once('r'))))} as r from {sql})"
+    return f'select t as "EventTemplate", r as rewritten from {sql}'
+
+
+@register(_rewrites_sql())
 def template_rewrites(spark, sf_dir):
     """Templates before and after the rewriting that precedes comparison."""
-    again = F.udf(rewrite, "string", useArrow=True)
-    return _templated(spark, sf_dir).select("EventTemplate").distinct().withColumn("rewritten", again("EventTemplate"))
+    framed = v.parts(spark, sf_dir).select(F.expr(_framed(False)).alias("EventTemplate")).distinct()
+    return framed.withColumn("rewritten", rewritten("EventTemplate"))
+
+
+# -- whole chains, readers and writers ------------------------------------------------------------
+
+
+def _corrected_sql() -> str:
+    """The steps of correction, a step a subquery."""
+    steps = [
+        _mask_sql("c"),
+        "trim(regexp_replace(c, '\\s+', ' ', 'g'))",
+        _token_sql("c", _D_PATH, "^(/[^/]+)+/?$"),
+        _token_sql("c", _D_TOKEN, "^[0-9]+$"),
+        _token_sql("c", _D_TOKEN, "^[^ /]*<\\*>[^ /]*$"),
+        _collapse_sql("c"),
+    ]
+    sql = f"(select LineId, {_RAW_SQL} || ', /var/log/x.1 #7# v=9.8:7' as c from {v.EVENTS_SQL} union all select -LineId, Content from {v.URLS_SQL})"
+    for step in steps:
+        sql = f"(select LineId, {step} as c from {sql})"
+    return f'select LineId as "LineId", c as template from {sql}'
+
+
+@register(_corrected_sql())
+def template_correction(spark, sf_dir):
+    """The whole correction over events with addresses, pointers and paths, and over web addresses."""
+    events = v.events(spark, sf_dir).selectExpr("LineId", f"{_RAW} || ', /var/log/x.1 #7# v=9.8:7' as Content")
+    both = events.unionAll(v.urls(spark, sf_dir).selectExpr("-LineId", "Content"))
+    return both.select("LineId", correct_template(F.col("Content")).alias("template"))
+
+
+def _sql_merge_prompt() -> str:
+    example = lambda other, answer: _sql_text(MERGE_EXAMPLE.replace("{answer}", answer)).replace("{content}", "' || content || '").replace("{other}", f"' || {other} || '")
+    shown = f"{example('positive', 'Yes')} || {example('negative', 'No')}"
+    whole = _sql_text(MERGE).replace("{examples}", "' || shown || '").replace("{log1}", "' || Content || '").replace("{log2}", "' || template || '")
+    return f"""select LineId as "LineId", {whole} as prompt from (select LineId, Content, {_TEMPLATE_SQL} as template from {v.EVENTS_SQL}) cross join
+        (select string_agg({shown}, '' order by id) as shown from (select id, text as content, replace(text, '#', '#0') as positive, p_type as negative from {v.PARTS_SQL} order by id limit 3))"""
+
+
+@register(_sql_merge_prompt())
+def merge_prompt_build(spark, sf_dir):
+    """The merge prompt of every event and its template, with the first three parts as examples."""
+    three = v.parts(spark, sf_dir).orderBy("id").limit(3)
+    fields = F.struct("id", F.col("text").alias("content"), F.replace("text", F.lit("#"), F.lit("#0")).alias("positive"), F.col("p_type").alias("negative"))
+    shown = three.agg(F.array_sort(F.collect_list(fields)).alias("examples"))
+    lines = _templated(spark, sf_dir).crossJoin(shown)  # one row
+    return lines.select("LineId", merge_prompt(F.col("Content"), F.col("EventTemplate"), F.col("examples")).alias("prompt"))
+
+
+def _folder(spark, label: str) -> str:
+    return new_path(spark, f"query-{label}")
+
+
+_LOG_SQL = f"""select row_number() over (order by o_orderkey) as "LineId", regexp_extract(value, '{_ORDER_RE}', 1) as "Date", regexp_extract(value, '{_ORDER_RE}', 2) as "Status",
+    regexp_extract(value, '{_ORDER_RE}', 3) as "Order", regexp_extract(value, '{_ORDER_RE}', 4) as "Content" from {v.ORDERS_SQL} where regexp_matches(value, '{_ORDER_RE}')"""
+
+
+def _written_log(spark, sf_dir) -> str:
+    """Orders as text files, whose names follow the order of the keys; lines have spaces around them."""
+    path = _folder(spark, "log")
+    lines = v.orders_lines(spark, sf_dir).repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")
+    lines.select(F.concat(F.lit("  "), "value", F.lit("\t"))).write.text(path)
+    return path
+
+
+@register(_LOG_SQL)
+def log_reader(spark, sf_dir):
+    """A log written as text files and loaded by its format."""
+    return readers.load_log(spark, _written_log(spark, sf_dir), v.ORDER_FORMAT)
+
+
+@register(_LOG_SQL + " order by o_orderkey limit 2000")
+def log_sample_reader(spark, sf_dir):
+    """The first 2,000 lines of a log."""
+    return readers.load_sample(spark, _written_log(spark, sf_dir), v.ORDER_FORMAT)
+
+
+_QUOTED = "concat(Content, ' say \"', event_type, '\", a\\\\b')"
+_QUOTED_SQL = "concat(Content, ' say \"', event_type, '\", a\\b')"
+
+
+@register(f"""select LineId as "LineId", {_QUOTED_SQL} as "Content", case when event_type <> 'view' then 'E ' || event_type end as "EventId", event_type || ', <*>' as "EventTemplate" from {v.EVENTS_SQL}""")
+def structured_csv(spark, sf_dir):
+    """Structured lines with quotes, commas, backslashes and null ids written as CSV and read as ground truth."""
+    lines = v.events(spark, sf_dir).select(
+        "LineId", F.expr(_QUOTED).alias("Content"), F.expr("case when event_type <> 'view' then 'E ' || event_type end").alias("EventId"), F.concat("event_type", F.lit(", <*>")).alias("EventTemplate")
+    )
+    sinks.write_structured(lines, path := _folder(spark, "structured"))
+    return readers.load_groundtruth(spark, path)
+
+
+@register(ORACLE["template_counts"])
+def templates_csv(spark, sf_dir):
+    """Template counts written as one CSV file and read back."""
+    sinks.write_templates(QUERIES["template_counts"](spark, sf_dir), path := _folder(spark, "templates"))
+    return readers.load_templates(spark, path)
+
+
+@register(_TRUTH_SQL + """ select LineId as "LineId", Content as "Content", event as "EventId", template as "EventTemplate" from lines join ids using (template)""")
+def ground_truth_files(spark, sf_dir):
+    """Truth built from an annotation file, written and read back; later annotations of a content override earlier ones."""
+    lines = _templated(spark, sf_dir)
+    notes = lines.where("event_type <> 'error'").select("Content", "EventTemplate", "LineId")
+    rows = notes.withColumn("n", F.lit(1)).union(notes.select("Content", F.lit("wrong"), "LineId", F.lit(0))).orderBy("n", "LineId")
+    sinks.write_csv(rows.select("Content", "EventTemplate"), path := _folder(spark, "notes"))
+    structured, _ = build_groundtruth(lines.select("LineId", "Content"), readers.load_annotations(spark, path))
+    sinks.write_structured(structured, truth := _folder(spark, "truth"))
+    return readers.load_groundtruth(spark, truth)
+
+
+@register(f"""select text as content, template, replace(text, '#', '#0') as "Postive_Example", case when p_type <> 'ECONOMY' then p_name || ' "' || p_type || '"' end as "Negative_Example" from {v.PARTS_SQL}""")
+def examples_json(spark, sf_dir):
+    """Examples written as JSON and read back."""
+    parts = v.parts(spark, sf_dir).select(
+        F.col("text").alias("content"), "template", F.replace("text", F.lit("#"), F.lit("#0")).alias("Postive_Example"),
+        F.expr("case when p_type <> 'ECONOMY' then p_name || ' \"' || p_type || '\"' end").alias("Negative_Example"),
+    )
+    sinks.write_examples(parts, path := _folder(spark, "examples"))
+    return readers.load_example_lines(spark, path).drop("id")
+
+
+@register(_EVAL_SQL + """ select 'GA' as metric, round(ga, 6) as events from g union all select 'FGA', round(2 * pga * rga / (pga + rga), 6) from g
+    union all select 'PA', round(pa, 6) from k union all select 'FTA', round(2 * pta * rta / (pta + rta), 6) from k""")
+def benchmark_csv(spark, sf_dir):
+    """The benchmark table written as CSV and read back."""
+    scores = ev.evaluate(*_truth_and_parse(spark, sf_dir)).select(F.lit("events").alias("Dataset"), *(F.round(c, 6).alias(c) for c in ("GA", "FGA", "PA", "FTA")))
+    sinks.write_benchmark(scores, path := _folder(spark, "benchmark"))
+    return readers.read_csv(spark, path, "metric string, events double")
