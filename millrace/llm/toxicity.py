@@ -7,14 +7,15 @@ the document's score is the
 noisy-or ``1 - prod(1 - sentence score)``. Weights minimise the cross-entropy of the
 document scores against the labels, and then tell which sentences offend.
 
-Training uses at most ``TRAIN_ROWS`` labelled rows outside the held-out fold (those
+Training uses at most ``TRAIN_ROWS`` labelled documents outside the held-out fold (those
 of least hash; a documented bound), and the ``VOCABULARY`` features that tell toxic
-from other training documents best. Scoring covers every whole text and sees
-its text only.
+from other training documents best. Scoring covers every whole text, however long, and
+sees its text only.
 
 Defined cases: null and empty texts have no sentence and score 0; a null doc_id is
-scored and not held out; several labels of one doc_id count as their maximum; null
-labels are ignored; repeated rows score alike; other columns are ignored; without
+scored and not held out; several labels of one doc_id count as their maximum; labels
+other than 0 and 1 are ignored; of rows that share a doc_id one is trained on; repeated
+rows score alike; other columns are ignored; an empty table gives no rows; without
 training rows of both classes every score is 0.
 """
 
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import filter_texts, map_texts
+from millrace.llm.base import discard, filter_texts, map_texts, staged
 
 FOLDS, HELD_OUT = 5, 0
 #: Most labelled rows that are trained on.
@@ -123,13 +124,31 @@ def fit(bags: list[list[list[int]]], empty: np.ndarray, labels: np.ndarray, star
     return weights, bias
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, toxic and text of at most ``rows`` labelled documents outside the held-out fold, stored; one row a doc_id.
+
+    Of rows that share a doc_id the least text counts.
+    """
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold() != HELD_OUT)
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # Labels without a document must not use up the sample; only numbers are shuffled here.
+    known = known.join(docs.select("doc_id").distinct(), "doc_id")
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = staged(sample, "toxic-sample")  # at most `rows` pairs of numbers
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return staged(found.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")), "toxic-train")
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model from labelled rows outside the held-out fold; at most ``rows`` of them."""
-    known = labels.where("doc_id is not null and toxic is not null").where(fold() != HELD_OUT)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))  # at most `rows` pairs of numbers
-    labelled = docs.select("doc_id", "text").join(sample, "doc_id")
+    labelled = training_rows(docs, labels, rows)
+    try:
+        return _trained(labelled)
+    finally:
+        discard(labelled)
+
 
+def _trained(labelled: DataFrame) -> Model:
     def list_features():
         def work(batch):
             return [
@@ -163,9 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
         return work
 
-    # At most `rows` documents, as the numbers of known words only; repeated rows stay.
+    # One row for each of at most `rows` documents, as the numbers of known words only.
     coded = map_texts(labelled, encode, "doc_id long, toxic int, bag array<array<int>>, empty long", ("doc_id", "text", "toxic"))
-    bags = sorted(coded.collect(), key=lambda r: (r.doc_id, r.bag, r.empty))
+    bags = sorted(coded.collect(), key=lambda r: r.doc_id)
     weights, bias = fit([r.bag for r in bags], np.array([r.empty for r in bags]), np.array([r.toxic for r in bags]), np.clip(odds, -3, 3))
     return Model({w: float(weights[i]) for w, i in number.items()}, float(bias))
 
