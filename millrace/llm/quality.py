@@ -7,11 +7,13 @@ towards the pooled diagonal, and its Cholesky factor is cached in the model. The
 score is the logistic function of the difference of the two Mahalanobis
 log-densities plus the log prior odds.
 
+Sums are of decimals, so that neither the order of tasks nor a lost executor changes a score.
+
 Defined cases: null and empty texts have all-zero counts and are scored like any
-other; a null doc_id is scored and not held out; several labels of one doc_id count
-as their maximum; null labels are ignored; repeated rows score alike; other columns
-are ignored; with labels of one class only, scores are that class's value, and with
-none 0.5.
+other; texts of any length count whole; a null doc_id is scored and not held out; several labels of one doc_id count
+as their maximum; labels other than 0 and 1 are ignored; repeated rows score alike and
+each counts in training; other columns are ignored; an empty table gives no rows; with
+labels of one class only, scores are that class's value, and with none 0.5.
 """
 
 from __future__ import annotations
@@ -103,12 +105,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def moments(labelled: DataFrame, size: int) -> DataFrame:
-    """One row a class: n, the sums s0.. and the sums of products p0_0.. of x."""
+    """One row a class: n, the sums s0.. and the sums of products p0_0.. of x, all as decimals of nine places."""
     x = [F.col("x")[i] for i in range(size)]
+    total = lambda c: F.sum(F.round(c, 9).cast("decimal(28,9)")).cast("double")
     return labelled.groupBy("quality").agg(
         F.count("*").alias("n"),
-        *(F.sum(x[i]).alias(f"s{i}") for i in range(size)),
-        *(F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(size) for j in range(i + 1)),
+        *(total(x[i]).alias(f"s{i}") for i in range(size)),
+        *(total(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(size) for j in range(i + 1)),
     )
 
 
@@ -145,7 +148,7 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 
 def train(stored: DataFrame, labels: DataFrame) -> Model:
     """The model from stored features and all labelled rows outside the held-out fold."""
-    known = labels.where("doc_id is not null and quality is not null").where(fold() != HELD_OUT)
+    known = labels.where("doc_id is not null and quality in (0, 1)").where(fold() != HELD_OUT)
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     return solve(moments(stored.join(known, "doc_id"), len(NAMES)).orderBy("quality").collect(), len(NAMES))  # two rows
 
