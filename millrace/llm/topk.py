@@ -14,9 +14,14 @@ Values are integers, so scores are exact; components must stay small enough for
 
 Defined cases: vectors null, empty, or holding null or non-finite components, and
 rows without an id, take no part; vectors of unlike length are never compared; a
-repeated query row is answered once; rows with the query's own id are no candidates,
+repeated query row is answered once; query rows with one id and different vectors are
+one query, whose answers are ranked together, the best of either first (a row that both
+find can stand twice); rows with the query's own id are no candidates,
 other repeated rows are candidates each; an empty table gives no rows; other columns
 are ignored.
+
+The rows are stored once, quantised. Each shard gets each query, N / 100 times N / 8,192
+vectors in all: a stated query set against all rows, in blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.base import staged
+
 K = 10
 EVERY = 100
 SCALE = 1024
@@ -126,12 +133,14 @@ def _answers(k: int):
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows."""
-    rows = quantised(vectors, scale).withColumn("dim", F.size("v"))
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    dealt = rows.join(sizes, "dim")
-    candidates = dealt.select("dim", F.pmod(F.monotonically_increasing_id(), "shards").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = dealt.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
+    rows = staged(quantised(vectors, scale).withColumn("dim", F.size("v")), "topk-rows")
+    # One number decides how many shards every length of vectors has; rows are never moved by length.
+    largest = rows.groupBy("dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shards = max(1, -(-largest // SHARD))
+    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    candidates = rows.select("dim", place.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
     sorted_rows = candidates.union(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
     found = sorted_rows.mapInArrow(_answers(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
