@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
-Native DataFrame operations only. Each line has a hash; a hash rolled over two
-neighbouring lines decides, by its lowest bit, whether a chunk ends there, so inserted
-lines shift no boundary but the nearest. A line of ``LONG`` words or more is a chunk
-of its own and counts as several lines; other chunks take part from two lines on.
+Native DataFrame operations only. Each line has a hash; a hash rolled over a line and the
+one before it hits by its lowest bit. A chunk begins at the first of neighbouring hits, so it
+has two lines at least (the first and the last line of a text stay with their
+neighbours), and inserted lines shift no boundary but the nearest. A line of ``LONG`` words or
+more is a chunk of its own and counts as several lines; other chunks take part from two lines on.
 
 1. Chunks are grouped by hash over all documents, without their text.
 2. Documents are joined with their chunks whose hash occurs again. The bytes of every
@@ -50,21 +51,22 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = docs.withColumn("_lines", F.split(text, "\n", -1)).withColumn(
         "_facts", F.transform("_lines", lambda x: F.struct(line_hash(x).alias("h"), (words(x) >= LONG).alias("long")))
     )
-    near = lines.withColumn("_one", _shift(F.col("_facts"), none)).withColumn("_two", _shift(F.col("_one"), none))
-    # The hash rolled over lines i-2 and i-1 tells whether a chunk ends before line i.
-    ends = F.zip_with(
-        "_one",
-        "_two",
+    # The hash rolled over lines i-1 and i.
+    rolled = F.zip_with(
+        _shift(F.col("_facts"), none),
+        "_facts",
         lambda a, b: F.struct(
-            (F.shiftrightunsigned(b["h"], 1).bitwiseXOR(a["h"]).bitwiseAND(F.lit(1)) == 0).alias("ends"), a["long"].alias("long")
+            (F.shiftrightunsigned(a["h"], 1).bitwiseXOR(b["h"]).bitwiseAND(F.lit(1)) == 0).alias("hit"), (a["long"] | b["long"]).alias("long")
         ),
     )
-    starts = F.zip_with(ends, "_facts", lambda e, f: e["ends"] | e["long"] | f["long"])
+    near = lines.withColumn("_rolled", rolled)
+    before = _shift(F.transform("_rolled", lambda r: r["hit"]), F.lit(False))
+    opens = F.zip_with("_rolled", before, lambda r, b: F.struct((r["hit"] & ~b).alias("first"), r["long"].alias("long")))
+    inside = lambda i: (i >= 2) & (i < F.size("_lines") - 1)
+    starts = F.transform(opens, lambda o, i: (i == 0) | o["long"] | (o["first"] & inside(i)))
     marked = F.zip_with(starts, "_lines", lambda s, x: F.concat(F.when(s, F.lit("!")).otherwise(F.lit(" ")), x))
     chunks = F.split(F.substr(F.array_join(marked, "\n"), F.lit(2)), "\n!", -1)
-    return near.withColumn("chunks", F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(chunks)).drop(
-        "_lines", "_facts", "_one", "_two"
-    )
+    return near.withColumn("chunks", F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(chunks)).drop("_lines", "_facts", "_rolled")
 
 
 def _counts(chunk: Column) -> Column:

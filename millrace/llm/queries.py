@@ -122,10 +122,12 @@ LINE_DEDUP_SQL = f"""
         select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h,
                length(line) - length(replace(line, ' ', '')) + 1 >= {linededup.LONG} as long
         from lines),
-    starts as (
-        select *, (xor(coalesce(lag(h, 2) over d, 0) >> 1, coalesce(lag(h) over d, 0)) & 1) = 0
-                  or coalesce(lag(long) over d, false) or long as begins
+    rolled as (
+        select *, (xor(coalesce(lag(h) over d, 0) >> 1, h) & 1) = 0 as hit, coalesce(lag(long) over d, false) as after, count(*) over (partition by doc_id) as last
         from facts window d as (partition by doc_id order by i)),
+    starts as (
+        select *, i = 1 or long or after or (hit and not lag(hit) over (partition by doc_id order by i) and i >= 3 and i < last) as begins
+        from rolled),
     numbered as (select *, sum(cast(begins as int)) over (partition by doc_id order by i) as chunk from starts),
     chunks as (
         select doc_id, chunk, string_agg(line, chr(10) order by i) as body, count(*) as n, count(*) > 1 or bool_or(long) as counts
