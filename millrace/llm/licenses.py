@@ -4,7 +4,12 @@ A template is its mandatory wording with two kinds of markup, as license lists u
 ``<<optional>> ... <</optional>>`` may be absent, and ``<<any N>>`` stands for up to
 N words of any kind. A template compiles into an automaton over words whose states
 are sets of positions; a text is accepted where some run of its words spells all
-mandatory words exactly. Runs start only at words that can begin a template.
+mandatory words exactly. Runs start only at words that can begin a template. Matches do
+not overlap: from left to right the longest run at a word counts, of equal ones the
+template that comes first by name.
+
+The templates are whole short licenses, and the notices by which programs and works refer to
+the long ones; ``scan`` takes others as a parameter.
 
 Words are ``WORD`` over the text with A-Z lowered. The base phrases of ``PHRASES``
 are counted wherever their words stand consecutively.
@@ -12,7 +17,8 @@ are counted wherever their words stand consecutively.
 The score is 1 where a template accepts, 0.5 where only base phrases stand, else 0.
 
 Defined cases: null and empty texts have no words, null first and last words and
-empty labels; overlapping phrases all count; repeated rows give repeated rows; other
+empty labels; texts of any length are scanned whole; overlapping phrases all count; a null
+doc_id stays null; repeated rows give repeated rows; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -35,41 +41,93 @@ PHRASES = {
 }
 
 # The public wording of common licenses and notices, with markup.
+_MIT_GRANT = """
+    Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+    rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so, subject to the following conditions:
+    The above copyright notice and this permission notice <<optional>>(including the next paragraph)<</optional>> shall be
+    included in all copies or substantial portions of the Software."""
+_BSD_START = """
+    Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: <<optional>>1.<</optional>> Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. <<optional>>2.<</optional>> Redistributions in binary form
+    must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution."""
+_BSD_END = """
+    THIS SOFTWARE IS PROVIDED BY <<any 12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+    THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+    <<any 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+    NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+    HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+    OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU_START = """
+    <<any 12>> is free software<<optional>>;<</optional>> you can redistribute it and/or modify it under the terms of the GNU"""
+_GNU_END = """
+    as published by the Free Software Foundation<<optional>>;<</optional>> either version <<any 2>> of the License, or (at your
+    option) any later version."""
+_GNU_WARRANTY = """
+    <<optional>><<any 12>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.<</optional>>"""
 TEMPLATES = {
     "mit-notice": """
         <<optional>>this <<any 3>> is<</optional>> <<optional>>released<</optional>> <<optional>>licensed<</optional>>
-        under the mit license""",
-    "mit-text": """
-        permission is hereby granted free of charge to any person obtaining a copy of this software and associated
-        documentation files the software to deal in the software without restriction including without limitation the
-        rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
-        persons to whom the software is furnished to do so subject to the following conditions <<any 40>> the software
-        is provided as is without warranty of any kind express or implied""",
+        under the <<optional>>terms of the<</optional>> MIT license""",
+    "mit-text": _MIT_GRANT + """
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 12>> BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "mit-grant": _MIT_GRANT,
     "apache-2.0": """
-        licensed under the apache license version 2 0
-        <<optional>>the license you may not use this file except in compliance with the license<</optional>>""",
+        Licensed under the Apache License, Version 2.0 <<optional>>(the "License"); you may not use <<any 4>> except in
+        compliance with the License.<</optional>> <<optional>>You may obtain a copy of the License at
+        <<any 8>> Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.<</optional>>""",
     "gpl-notice": """
-        <<optional>>this <<any 3>> is<</optional>> licensed under the <<optional>>terms of the<</optional>> gnu
-        <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license
-        <<optional>>version <<any 2>><</optional>>""",
-    "gpl-text": """
-        this program is free software you can redistribute it and or modify it under the terms of the gnu general
-        public license as published by the free software foundation either version <<any 3>> of the license or at your
-        option any later version""",
-    "cc-by-nc": """
-        licensed under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> cc by nc
-        <<optional>>4 0<</optional>>""",
-    "bsd": """
-        redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met <<any 120>> this software is provided by <<any 12>> as is and any express or
-        implied warranties""",
+        <<optional>>this <<any 3>> is<</optional>> licensed under the <<optional>>terms of the<</optional>> GNU
+        General Public License <<optional>>version <<any 2>><</optional>>""",
+    "lgpl-notice": """
+        <<optional>>this <<any 3>> is<</optional>> licensed under the <<optional>>terms of the<</optional>> GNU Lesser
+        General Public License <<optional>>version <<any 2>><</optional>>""",
+    "agpl-notice": """
+        <<optional>>this <<any 3>> is<</optional>> licensed under the <<optional>>terms of the<</optional>> GNU Affero
+        General Public License <<optional>>version <<any 2>><</optional>>""",
+    "gpl-header": _GNU_START + " General Public License " + _GNU_END + _GNU_WARRANTY,
+    "lgpl-header": _GNU_START + " <<optional>>Lesser<</optional>> <<optional>>Library<</optional>> General Public License " + _GNU_END + _GNU_WARRANTY,
+    "agpl-header": _GNU_START + " Affero General Public License " + _GNU_END + _GNU_WARRANTY,
+    "mpl-2.0": """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. <<optional>>If a copy of the MPL
+        was not distributed with this file, You can obtain one at <<any 6>><</optional>>""",
+    "epl-2.0": """
+        This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        <<optional>>v.<</optional>> 2.0""",
+    "cc-by": "licensed under <<optional>>a<</optional>> <<optional>>Creative Commons<</optional>> CC BY <<optional>>4.0<</optional>>",
+    "cc-by-sa": "licensed under <<optional>>a<</optional>> <<optional>>Creative Commons<</optional>> CC BY-SA <<optional>>4.0<</optional>>",
+    "cc-by-nc": "licensed under <<optional>>a<</optional>> <<optional>>Creative Commons<</optional>> CC BY-NC <<optional>>4.0<</optional>>",
+    "cc-attribution": """
+        This work is licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> Creative Commons Attribution
+        <<optional>>NonCommercial<</optional>> <<optional>>ShareAlike<</optional>> <<any 2>> License""",
+    "bsd-2-clause": _BSD_START + _BSD_END,
+    "bsd-3-clause": _BSD_START + """
+        <<optional>>3.<</optional>> Neither the name of <<any 12>> nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.""" + _BSD_END,
     "isc": """
-        permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
-        granted provided that the above copyright notice and this permission notice appear in all copies""",
-    "all-rights-reserved": "<<optional>>copyright <<any 6>><</optional>> all rights reserved",
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.
+        <<optional>>THE SOFTWARE IS PROVIDED "AS IS" AND <<any 6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.<</optional>>""",
+    "zlib": """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely""",
+    "unlicense": """
+        This is free and unencumbered software released into the public domain.""",
+    "all-rights-reserved": "copyright <<any 8>> all rights reserved",
 }
 
-_MARKUP = re.compile(r"<<(/?optional|any (\d+))>>|([^\s<>]+)")
+_MARKUP = re.compile(r"<<(/?optional|any (\d+))>>|([^<]+)")
 
 
 @dataclass(frozen=True)
@@ -118,8 +176,9 @@ def compile_template(markup: str) -> Automaton:
             for s in range(first, len(words)):
                 skips[s].add(len(words))
         else:
-            words.append(m[3])
-            skips.append(set())
+            for word in words_of(m[3]):
+                words.append(word)
+                skips.append(set())
     free = []
     for state in range(len(skips)):
         reach, todo = {state}, [state]
@@ -147,29 +206,31 @@ def words_of(text: str | None) -> list[str]:
 
 def phrases(words: list[str]) -> list[tuple[int, str]]:
     """(start, label) of every place of a base phrase."""
-    found, at = [], -1
-    try:
-        while True:
-            at = words.index("license", at + 1)
-            for phrase, label in PHRASES.items():
-                start = at + 1 - len(phrase)
-                if start >= 0 and tuple(words[start : at + 1]) == phrase:
-                    found.append((start, label))
-    except ValueError:
-        return found
+    found = []
+    for phrase, label in PHRASES.items():
+        at = -1
+        for _ in range(words.count(phrase[-1])):
+            at = words.index(phrase[-1], at + 1)
+            start = at + 1 - len(phrase)
+            if start >= 0 and tuple(words[start : at + 1]) == phrase:
+                found.append((start, label))
+    return found
 
 
 def matches(words: list[str], by_start: dict[str, list[tuple[str, Automaton]]]) -> list[tuple[int, int, str]]:
-    """(start, end, label) of the longest accepted run at each word that begins one."""
+    """(start, end, label) of the matches, which do not overlap: the longest from left to right."""
     if by_start.keys().isdisjoint(words):
         return []
-    return [
-        (at, end, label)
-        for at, word in enumerate(words)
-        if word in by_start
-        for label, automaton in by_start[word]
-        if (end := automaton.accepts(words, at)) is not None
-    ]
+    out, free = [], 0
+    for at, word in enumerate(words):
+        if at < free or word not in by_start:
+            continue
+        ends = ((automaton.accepts(words, at), label) for label, automaton in by_start[word])
+        best = min(((-end, label) for end, label in ends if end is not None), default=None)
+        if best:
+            free = -best[0]
+            out.append((at, free, best[1]))
+    return out
 
 
 def examine(text: str | None, by_start: dict[str, list[tuple[str, Automaton]]]) -> tuple:
