@@ -18,7 +18,8 @@ Tokens are maximal runs of characters other than space, tab and line feed.
 
 Defined cases: a null language or source is the node ``unknown``; a null text has no
 tokens; rows of the same leaf with equal doc_id are taken together or not at all, so
-repeated rows stay together; documents without tokens come with the prefix that
+repeated rows stay together; what has a weight of 0 takes nothing, whatever others cannot take
+(a weight is never below 0); a null doc_id orders like an empty one; texts of any length count whole; documents without tokens come with the prefix that
 reaches them; nothing is selected from an empty table or for a budget of zero; other
 columns are ignored, or kept by ``mixed``.
 """
@@ -85,7 +86,9 @@ def counted(docs: DataFrame) -> DataFrame:
 def split(children: DataFrame, parent: list[str], name: str, weights: Column) -> DataFrame:
     """``children`` (parent, name, capacity, budget of the parent) with ``alloc``, each child's part of the budget."""
     rows = children.withColumn("w", weights)
-    order = [(F.col("capacity") / F.col("w")), F.col(name)]
+    # A child of weight 0 is full with nothing, and comes first.
+    rows = rows.withColumn("capacity", F.when(F.col("w") > 0, F.col("capacity")).otherwise(F.lit(0)))
+    order = [F.try_divide("capacity", "w"), F.col(name)]
     key = parent or [F.lit(0)]
     before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*key)
