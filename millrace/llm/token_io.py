@@ -16,8 +16,8 @@ and lengths, control, data), which any store that Spark reaches can commit and r
 Decoding looks control bytes up in a table of 256 x 4 lengths.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first;
-rows with equal doc_id are all kept, ordered by their coded bytes; an empty table
-gives no blocks; other columns are ignored.
+rows with equal doc_id are all kept, ordered by their coded bytes; texts of any length
+are one document, in one block; an empty table gives no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.base import discard, staged
+from millrace.staging import path_of
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -47,6 +48,11 @@ ROWS = 2_000
 #: Tokens after which a block ends; a document is never split.
 BLOCK_TOKENS = 1 << 14
 
+#: Stored bytes of a range, which one task writes.
+RANGE_BYTES = 64 << 20
+#: Where a null doc_id stands.
+LOW = -(1 << 63)
+
 #: Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -182,17 +188,33 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     return found.select("doc_id", F.xxhash64("ids").alias("tie"), "ids")
 
 
-def bounds(keys: DataFrame) -> list[tuple[int, int]]:
-    """Greatest (doc_id, tie) of each of twice as many ranges as the session has shuffle partitions, a null id lowest.
+def range_count(stored: DataFrame) -> int:
+    """How many ranges a stored frame is written in: by its bytes, and enough for all cores."""
+    system, where = path_of(stored.sparkSession, stored._staged_path)  # noqa: SLF001
+    size = system.getContentSummary(where).getLength()
+    return max(-(-size // RANGE_BYTES), 2 * stored.sparkSession.sparkContext.defaultParallelism)
+
+
+def bounds(keys: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Greatest (doc_id, tie) of each of ``n`` ranges but the last, a null id lowest.
 
     The number is given, as adaptive planning would make a few ranges of these small rows.
     """
-    low, n = -(1 << 63), 2 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.select(F.coalesce("doc_id", F.lit(low)).alias("id"), "tie").repartitionByRange(n, "id", "tie")
+    ranged = keys.select(F.coalesce("doc_id", F.lit(LOW)).alias("id"), "tie").repartitionByRange(n, "id", "tie")
     tops = ranged.groupBy(F.spark_partition_id()).agg(F.max(F.struct("id", "tie")).alias("top"))
     return sorted((r.top.id, r.top.tie) for r in tops.collect())[:-1]
 
 
+def ranges_of(tops: list[tuple[int, int]], ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """The range of each (id, tie): how many of ``tops`` are below it."""
+    top_ids = np.array([i for i, _ in tops], dtype=np.int64)
+    out = np.searchsorted(top_ids, ids)
+    inside = out < len(tops)
+    for k in np.flatnonzero(inside)[top_ids[out[inside]] == ids[inside]].tolist():  # ids that are a range's last
+        out[k] = bisect_left(tops, (int(ids[k]), int(ties[k])))
+    return out
+
+
 def frequencies(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     """id and n of every id that occurs."""
 
@@ -251,16 +273,13 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
 
 
 def _coded(tokens: DataFrame, rank_of: np.ndarray, dtype: np.dtype, tops: list[tuple[int, int]]) -> DataFrame:
-    low = -(1 << 63)
-
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(2).to_pylist()
                 counts = np.array([len(x) // dtype.itemsize for x in ids], dtype=np.int64)
                 control, data = pack(rank_of[np.frombuffer(b"".join(ids), dtype=dtype)], counts)
-                keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                part = [bisect_left(tops, (low if i is None else i, t)) for i, t in keys]
+                part = ranges_of(tops, pc.fill_null(batch.column(0), LOW).to_numpy(), batch.column(1).to_numpy())
                 columns = [
                     pa.array(part, pa.int32()),
                     batch.column(0),
@@ -324,9 +343,10 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tup
     rank_of[ids] = np.arange(len(ids))
     spark = docs.sparkSession
     book = staged(spark.createDataFrame(list(enumerate(ids.tolist())), "rank int, id long").coalesce(1), "token-book")
+    ranges = range_count(tokens)
     ordered = (
-        _coded(tokens, rank_of, dtype, bounds(tokens.select("doc_id", "tie")))
-        .repartition("part")
+        _coded(tokens, rank_of, dtype, bounds(tokens.select("doc_id", "tie"), ranges))
+        .repartitionById(ranges, "part")
         .sortWithinPartitions("part", "doc_id", "tie", "control", "data")
         .drop("tie")
     )
