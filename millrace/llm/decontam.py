@@ -19,10 +19,14 @@ only such diagonals count. A document is contaminated by an item if the matched
 windows make up ``COVERAGE`` of the item's, of all or of those with constants enough,
 or ``RUN`` of them lie on one diagonal.
 
-Defined cases: null and empty texts have no windows; rows with equal doc_id and text
+A name is only told by its capitals, so each item is also looked for with its names as
+words: a copy in small letters is found, one with other names in small letters is not.
+
+Defined cases: null and empty texts have no windows; texts of any length count whole; an empty table on
+either side gives no rows; rows with equal doc_id and text
 are one row of the result; a null doc_id is kept as null; items with equal text count
 once, under their least item_id; items without item_id or with fewer than ``SHORTEST``
-tokens match nothing; other columns are ignored.
+tokens match nothing (``unmatchable`` lists those); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import map_texts, staged
+from millrace.llm.base import discard, map_texts, staged
 
 WINDOW, SHORTEST = 8, 4
 COVERAGE, RUN = 0.5, 13
@@ -55,8 +59,8 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[%$€£
 _STOP = frozenset(".!?\n")
 
 
-def template(text: str | None) -> tuple[list[str], list[str | None]]:
-    """The template tokens of a text and, for each, the slot's value or None."""
+def template(text: str | None, names: bool = True) -> tuple[list[str], list[str | None]]:
+    """The template tokens of a text and, for each, the slot's value or None; without ``names`` these are words like others."""
     tokens: list[str] = []
     values: list[str | None] = []
     opening = True
@@ -69,7 +73,7 @@ def template(text: str | None) -> tuple[list[str], list[str | None]]:
             token, value = NUMBER, word
         elif word in UNITS and tokens and tokens[-1] == NUMBER:
             token, value = UNIT, word
-        elif not opening and raw[0].isupper() and not raw.isupper():
+        elif names and not opening and raw[0].isupper() and not raw.isupper():
             token, value = NAME, word
             if tokens and tokens[-1] == NAME:
                 values[-1] += " " + word
@@ -126,9 +130,10 @@ def window_key(tokens: list[str], values: list[str | None], at: int, size: int,
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """hash, size, pattern, item_id, at, n, n_firm, firm, slots and shape of every place of the benchmark's windows.
+    """hash, size, pattern, item_id, form, at, n, n_firm, firm, slots and shape of every place of the benchmark's windows.
 
-    ``firm`` windows have constants enough; ``n`` and ``n_firm`` are the item's distinct
+    Items with names have two forms: with slots for them (0), and with the names as words (1), as they
+    look in a text without capitals. ``firm`` windows have constants enough; ``n`` and ``n_firm`` are the form's distinct
     windows, all and firm. ``shape`` is the hash of the template.
     """
 
@@ -138,26 +143,36 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
         def work(rows):
             out = []
             for item_id, text in rows:
-                tokens, values = template(text)
-                if len(tokens) < SHORTEST:
-                    continue
-                size, found = min(window, len(tokens)), []
-                for at, shape in enumerate(hasher.windows(hasher.tokens(tokens), size).view(np.int64).tolist()):
-                    h, pattern = window_key(tokens, values, at, size, shape)
-                    found.append((h, pattern, at, constant_enough(values, at, size), shape))
-                n, n_firm = len({h for h, *_ in found}), len({h for h, _, _, firm, _ in found if firm})
-                for h, pattern, at, firm, shape in found:
-                    slots = [v for v in values[at : at + size] if v is not None]
-                    out.append((h, size, pattern, item_id, at, n, n_firm, firm, slots, shape))
+                forms = [template(text), template(text, names=False)]
+                for form, (tokens, values) in enumerate(forms):
+                    if len(tokens) < SHORTEST or (form and tokens == forms[0][0]):
+                        continue
+                    size, found = min(window, len(tokens)), []
+                    for at, shape in enumerate(hasher.windows(hasher.tokens(tokens), size).view(np.int64).tolist()):
+                        h, pattern = window_key(tokens, values, at, size, shape)
+                        found.append((h, pattern, at, constant_enough(values, at, size), shape))
+                    n, n_firm = len({h for h, *_ in found}), len({h for h, _, _, firm, _ in found if firm})
+                    for h, pattern, at, firm, shape in found:
+                        slots = [v for v in values[at : at + size] if v is not None]
+                        out.append((h, size, pattern, item_id, form, at, n, n_firm, firm, slots, shape))
             return out
 
         return work
 
     unique = items.where("item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    schema = "hash long, size int, pattern string, item_id long, at int, n int, n_firm int, firm boolean, slots array<string>, shape long"
+    schema = "hash long, size int, pattern string, item_id long, form int, at int, n int, n_firm int, firm boolean, slots array<string>, shape long"
     return map_texts(unique, make, schema, ("item_id", "text"))
 
 
+def unmatchable(items: DataFrame) -> DataFrame:
+    """item_id of the items that can match nothing: those of fewer than SHORTEST tokens."""
+
+    def make():
+        return lambda rows: [(i,) for i, text in rows if len(template(text, names=False)[0]) < SHORTEST]
+
+    return map_texts(items, make, "item_id long", ("item_id", "text"))
+
+
 def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of each hash."""
     return hashes & np.uint64(BITS - 1), hashes >> np.uint64(30) & np.uint64(BITS - 1)
@@ -225,11 +240,12 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     marks = wanted.select(F.explode(F.array("hash", "shape")).alias("hash")).distinct()
     seen = document_windows(docs, filter_bits(marks), sizes).withColumnRenamed("slots", "values")
     pairs = seen.distinct().join(wanted, ["hash", "pattern"]).select(
-        "doc_id", "key", "item_id", "n", "n_firm", "firm", "hash", (F.col("place") - F.col("at")).alias("diagonal"),
+        "doc_id", "key", "item_id", "form", "n", "n_firm", "firm", "hash", (F.col("place") - F.col("at")).alias("diagonal"),
         (F.col("slots") == F.col("values")).alias("equal"), F.arrays_zip("slots", "values").alias("slots"),
     )
     pairs = staged(pairs, "decontam-pairs")
-    line = ["doc_id", "key", "item_id", "diagonal"]
+    discard(wanted)
+    line = ["doc_id", "key", "item_id", "form", "diagonal"]
     filled = pairs.select(*line, "firm", F.explode("slots").alias("s")).select(*line, "firm", "s.slots", "s.values")
     of_firm = F.when(F.col("firm"), F.col("values"))
     per_value = filled.groupBy(*line, "slots").agg(
@@ -263,7 +279,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
         "same_run": F.greatest(F.when(F.col("same"), F.col("firm_on_line")), F.when(F.col("all_same"), F.col("on_line")), F.lit(0)),
     })
     windows = lambda hashes: F.size(F.array_distinct(F.flatten(F.collect_list(hashes))))
-    found = lines.groupBy("doc_id", "key", "item_id").agg(
+    found = lines.groupBy("doc_id", "key", "item_id", "form").agg(
         windows(F.col("of_firm")).alias("firm"),
         windows(F.col("of_loose")).alias("loose"),
         windows(F.when(F.col("same"), F.col("firm_hashes"))).alias("firm_same"),
@@ -282,7 +298,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
         .withColumn("coverage", share("firm", "loose"))
         .where((F.col("coverage") >= COVERAGE) | (F.col("longest") >= RUN))
         .withColumn("exact", (share("firm_same", "loose_same") >= COVERAGE) | (F.col("longest_same") >= RUN))
-        .select("doc_id", "key", "item_id", "n_matched", "coverage", "exact")
+        .groupBy("doc_id", "key", "item_id")
+        .agg(F.max(F.struct("coverage", "n_matched")).alias("best"), F.max("exact").alias("exact"))
+        .select("doc_id", "key", "item_id", "best.n_matched", "best.coverage", "exact")
     )
 
 

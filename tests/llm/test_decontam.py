@@ -98,3 +98,101 @@ def test_windows_of_slots_count_by_value(spark):
     frame = spark.createDataFrame([(i, t, "h") for i, t in docs], DOC)
     got = d.contaminated(frame, spark.createDataFrame([(i, t, 0) for i, t in items], ITEM)).collect()
     assert {(r.doc_id, r.item_id, r.exact) for r in got} == {(1, 1, True), (3, 2, True), (5, 3, False), (6, 4, True)}
+
+
+def test_names_in_small_letters(spark):
+    docs = spark.createDataFrame([(1, QUESTION.lower(), "h"), (2, "He said: " + QUESTION.lower().replace("12", "14"), "h"), (3, OTHER.lower(), "h")], DOC)
+    items = spark.createDataFrame([(10, QUESTION, 1), (11, "Too short", 1), (12, None, 1)], ITEM)
+    assert {(r.doc_id, r.item_id, r.exact) for r in d.contaminated(docs, items).collect()} == {(1, 10, True), (2, 10, False)}
+    assert sorted(r.item_id for r in d.unmatchable(items).collect()) == [11, 12]
+
+
+def plain_template(text, names):
+    """Words, one-digit numbers and one-word names; a sentence ends at a full stop."""
+    out, opening = [], True
+    for word in text.replace(".", " . ").split():
+        if word == ".":
+            opening = True
+            continue
+        if word.isdigit():
+            out.append(("#", word))
+        elif names and word[0].isupper() and not opening:
+            out.append(("@", word.lower()))
+        else:
+            out.append((word.lower(), None))
+        opening = False
+    return out
+
+
+def plain_contaminated(doc, item):
+    """Whether a document holds an item, over all pairs of places."""
+    seen = plain_template(doc, True)
+    for names in (True, False):
+        want = plain_template(item, names)
+        size = min(8, len(want))
+        if size < 4:
+            continue
+        cut = lambda t: [t[i : i + size] for i in range(len(t) - size + 1)]
+        kind = lambda w: (tuple(k for k, _ in w), tuple(v for _, v in w) if all(v for _, v in w) else ())
+        firm = lambda w: 2 * sum(v is None for _, v in w) >= size
+        lines = {}
+        for i, w in enumerate(cut(want)):
+            for j, x in enumerate(cut(seen)):
+                if kind(w) == kind(x):
+                    lines.setdefault(j - i, []).append((w, x))
+        counted, run = set(), 0
+        for pairs in lines.values():
+            consistent = lambda ps: all(len({b for w, x in ps for (_, a), (_, b) in zip(w, x, strict=True) if a == v}) == 1 for w, _ in ps for _, v in w if v)
+            strong = [p for p in pairs if firm(p[0])]
+            if consistent(strong):
+                counted |= {kind(w) for w, _ in strong}
+                run = max(run, len(strong))
+            if consistent(pairs):
+                run = max(run, len(pairs))
+            counted |= {kind(w) for w, x in pairs if not firm(w) and (w == x or (consistent(pairs) and len(pairs) >= 13))}
+        windows = cut(want)
+        every, solid = {kind(w) for w in windows}, {kind(w) for w in windows if firm(w)}
+        if len(counted) >= 0.5 * len(every) or (solid and len(counted & solid) >= 0.5 * len(solid)) or run >= 13:
+            return True
+    return False
+
+
+def test_slots_names_and_consistency_against_brute_force(spark):
+    """Texts over few words, digits and names, with re-parameterised, broken and cut copies of items."""
+    rnd = random.Random(17)
+    word = lambda: rnd.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh"])
+    name = lambda: rnd.choice(["Xa", "Xb", "Xc"])
+    digit = lambda: rnd.choice("1234567")
+
+    def sentence():
+        out = [word()]
+        for _ in range(rnd.randrange(2, 22)):
+            last = out[-1]
+            pick = rnd.random()
+            out.append(digit() if pick < 0.25 else name() if pick < 0.4 and not last.startswith("X") else word())
+        return out
+
+    items = [sentence() for _ in range(40)]
+    docs = []
+    for _ in range(250):
+        words = sentence()
+        for _ in range(rnd.randrange(1, 3)):
+            copy = list(rnd.choice(items))
+            if rnd.random() < 0.5:
+                to = {w: digit() if w.isdigit() else name() for w in copy if w.isdigit() or w.startswith("X")}
+                copy = [to.get(w, w) for w in copy]
+            if rnd.random() < 0.3:
+                copy = [digit() if w.isdigit() else w for w in copy]
+            if rnd.random() < 0.3:
+                copy = copy[rnd.randrange(len(copy)) :] or copy
+            if rnd.random() < 0.2:
+                copy = [w.lower() for w in copy]
+            words += [".", *copy, "."]
+        docs.append(" ".join(words))
+    got = d.contaminated(
+        spark.createDataFrame([(i, t, "") for i, t in enumerate(docs)], DOC), spark.createDataFrame([(i, " ".join(t), 0) for i, t in enumerate(items)], ITEM)
+    ).collect()
+    texts = [" ".join(t) for t in items]
+    first = {t: texts.index(t) for t in texts}
+    want = {(i, first[t]) for i, doc in enumerate(docs) for t in first if plain_contaminated(doc, t)}
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 100
