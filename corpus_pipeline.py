@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents that its predecessor
 kept and returns a frame that ``run`` writes as Parquet and reads again. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever more there are.
+
+Defined cases: a null or empty text is never toxic nor contaminated, is one group with all
+texts without words, has no tokens to mix and encodes as the end id; a null doc_id is
+kept apart by its text; of rows alike in doc_id and text one stays; texts of any length
+count whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, mixing, simhash, token_io, toxicity
-from millrace.llm.base import load, staged
+from millrace.llm.base import discard, load, staged
 
 #: Shares of the corpus: each leaf is read at most once, so this stage selects and never repeats.
 MIX = mixing.Plan(share_percent=80, max_epochs=1)
@@ -24,7 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group."""
+    """Keeps one document of each group: fingerprints that link by BK-trees, and all texts whose five-word shingles are similar by 0.8."""
     return simhash.keep_one(docs)
 
 
@@ -51,7 +56,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_ids", encode),
 ]
 
-#: Learned models, fingerprints and a tokenizer are beyond SQL; tests compare with plain versions.
+#: Learned models, fingerprints and a tokenizer are beyond SQL. tests/llm/test_pipeline.py runs the stages over known
+#: rows; the other tests there hold each operator against a plain version.
 ORACLE_SQL = None
 
 
@@ -59,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each result written and read again."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
