@@ -82,3 +82,12 @@ def test_defined_cases(spark):
     assert mixing.select(docs, mixing.Plan(share_percent=0)).count() == 0
     assert mixing.select(docs.limit(0)).count() == 0 == mixing.mixed(docs.limit(0)).count()
     assert mixing.mixed(docs, mixing.Plan(share_percent=100, max_epochs=1)).columns == docs.columns
+
+
+def test_weight_of_zero_takes_nothing(spark):
+    rows = [(i, "w w w", "en" if i % 2 else "xx", f"src{i % 3}", 0, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = mixing.Plan(languages={"en": 1, "xx": 0}, share_percent=100, max_epochs=1)
+    got = mixing.select(docs, plan).collect()
+    assert {r.lang for r in got} == {"en"} and len(got) == 30
+    assert mixing.select(docs, mixing.Plan(domains={"web": 0}, default=0)).count() == 0

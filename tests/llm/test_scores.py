@@ -1,6 +1,7 @@
 """Quality and toxicity: held-out accuracy on the smallest tables, and defined cases."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -83,3 +84,53 @@ def test_solve_agrees_with_direct_density():
         diff = x - own.mean(0)
         odds += sign * (np.log(len(own) / 50) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (diff @ np.linalg.inv(cov) * diff).sum(1))
     assert np.allclose(quality.probability(model, x), 1 / (1 + np.exp(-odds)))
+
+
+def test_labels_outside_and_repeated_rows(spark):
+    """Labels other than 0 and 1 are no labels; a labelled doc_id is trained on once, and at most the bound are."""
+    rows = [(i % 50, f"{'bad' if i % 50 < 20 else 'fine'} text number {i}.", "c") for i in range(1000)]
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, int(i >= 20), int(i < 20)) for i in range(50)] + [(i, 7, -1) for i in range(50)] + [(1000 + i, 0, 0) for i in range(500)], LABEL)
+    kept = toxicity.training_rows(docs, labels, rows=12).collect()
+    assert len(kept) == len({r.doc_id for r in kept}) == 12 and {r.toxic for r in kept} <= {0, 1}
+    whole = toxicity.training_rows(docs, labels).collect()
+    texts = {i: min(t for d, t, _ in rows if d == i) for i in range(50)}
+    assert {(r.doc_id, r.text) for r in whole} == {(i, t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5}
+    found = {(r.doc_id, r.predicted) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert found == {(i, int(i < 20)) for i in range(50)}
+    odd = labels.where("quality = 7")
+    assert {r.score for r in quality.score(docs, odd).collect()} == {0.5}
+    assert quality.score(docs, labels).exceptAll(quality.score(docs, labels.where("quality in (0, 1)"))).isEmpty()
+
+
+def test_fit_and_score_against_plain_noisy_or():
+    """The gradient steps lower the plain loss, and scores are the plain noisy-or of the sentences."""
+    rnd = np.random.default_rng(5)
+    bags = [[sorted(set(rnd.integers(0, 12, 3).tolist())) for _ in range(rnd.integers(1, 5))] for _ in range(120)]
+    empty = rnd.integers(0, 3, 120)
+    labels = np.array([int(any(0 in s or 1 in s for s in bag)) for bag in bags])
+
+    def plain(weights, bias):
+        p = []
+        for bag, none in zip(bags, empty, strict=True):
+            clean = (1 - 1 / (1 + np.exp(-bias))) ** none
+            for sentence in bag:
+                clean *= 1 - 1 / (1 + np.exp(-(bias + sum(weights[w] for w in sentence))))
+            p.append(1 - clean)
+        return np.array(p)
+
+    loss = lambda p: -np.mean(np.where(labels == 1, np.log(np.maximum(p, 1e-12)), np.log(np.maximum(1 - p, 1e-12))))
+    weights, bias = toxicity.fit(bags, empty, labels, np.zeros(12))
+    end = plain(weights, bias)
+    assert loss(end) < 0.1 * loss(plain(np.zeros(12), -5.0)) and ((end >= 0.5) == (labels == 1)).mean() > 0.97
+    # A gradient step of the plain loss finds nothing left to gain.
+    for k in range(12):
+        for step in (0.02, -0.02):
+            other = weights.copy()
+            other[k] += step
+            assert loss(plain(other, bias)) > loss(end) - 1e-3
+    judge = toxicity.Judge(toxicity.Model({f"w{k}" if k else "zero": float(w) for k, w in enumerate(weights)}, float(bias)))
+    text = "zero one. nothing here! zero; zero\nplain words."
+    sentence = lambda n: 1 / (1 + np.exp(-(bias + n * weights[0])))
+    want = 1 - (1 - sentence(1)) * (1 - sentence(0)) * (1 - sentence(1)) * (1 - sentence(0))
+    assert abs(judge(text)[0] - want) < 1e-9

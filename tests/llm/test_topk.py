@@ -34,6 +34,15 @@ def test_against_brute_force(spark):
     assert topk.search(frame.limit(0)).count() == 0
 
 
+def test_one_query_id_with_two_vectors_and_no_move_by_length(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.25]), (2, [0.25, 0.75]), (3, [0.1, 0.1])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    got = [tuple(r) for r in topk.search(frame, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 768 * 1024), (0, 2, 1, 512 * 1024), (0, 3, 1, 256 * 1024)]
+    plan = topk.search(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression [dim#" in plan and ", shard#" in plan
+
+
 def test_reading_stops_early():
     rnd = np.random.default_rng(4)
     rows = (rnd.gamma(0.2, size=(20_000, 3)) * 1000).astype(np.int64)
