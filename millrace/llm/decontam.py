@@ -99,13 +99,15 @@ class Hasher:
 
     def tokens(self, tokens: list[str]) -> np.ndarray:
         known = self.known
-        new = set(tokens).difference(known)
-        if new:
-            if len(known) > self.MOST:
-                known.clear()
-                new = set(tokens)
-            for t in new:
-                known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+        try:
+            return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        except KeyError:
+            new = set(tokens).difference(known)
+        if len(known) > self.MOST:
+            known.clear()
+            new = set(tokens)
+        for t in new:
+            known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
     def windows(self, hashes: np.ndarray, size: int) -> np.ndarray:
