@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from millrace.session import importable
+from millrace.staging import discard, shared_dir, staged
 
+__all__ = ["Marks", "WordHashes", "discard", "filter_texts", "load", "map_texts", "marked", "shared_dir", "signed", "staged", "values"]
 
 #: Rows of a batch that are Python objects at a time.
 ROWS = 512
@@ -23,44 +26,54 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+def signed(value: int) -> int:
+    """The same 64 bits as a two's-complement long."""
+    return value - (1 << 64) if value >> 63 else value
 
-    Where the setting is absent a temporary folder is used, and only under a
-    local master: elsewhere executors would not see it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back.
-
-    This cuts the lineage and survives the loss of executors; the files go with
-    ``discard``, or with the cluster's own cleaning of the checkpoint folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path  # noqa: SLF001
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``staged`` frame that nothing will read again."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm  # noqa: SLF001
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+class WordHashes:
+    """64-bit hashes of words (bytes), remembered for up to ``MOST`` words at a time."""
+
+    MOST = 300_000
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        except KeyError:
+            new = set(words).difference(known)
+        if len(known) > self.MOST:
+            known.clear()
+            new = set(words)
+        for w in new:
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+class Marks:
+    """A set of bits of fixed size, addressed by 64-bit keys: what is not marked is not in the set."""
+
+    BITS = 1 << 24
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.astype(np.uint64) & np.uint64(self.BITS - 1)
+        return self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def marked(keys: DataFrame, key: Column) -> Marks:
+    """The marks of a column of longs; at most BITS / 64 rows come to the driver, whatever the number of keys."""
+    bit = key.bitwiseAND(F.lit(Marks.BITS - 1))
+    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toPandas()
+    table = np.zeros(Marks.BITS // 64, dtype=np.uint64)
+    table[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    return Marks(table)
 
 
 def values(column: pa.Array) -> list:

@@ -14,14 +14,12 @@ A fingerprint has 64 bits; two link at ``RADIUS`` = 2 or fewer differing bits.
 * The trees are not broadcast: all trees together grow with the data, so a tree is
   built in the task to which its shard is shuffled, where all its probes are.
 * Groups that meet in several shards are joined by alternating large-star and
-  small-star steps over DataFrames, each step cut by ``checkpoint()``.
+  small-star steps over DataFrames, each step stored.
 
 ``keep_one`` goes further than these groups: documents whose sets of five-word shingles
 have a Jaccard similarity of 0.8 or more are near-duplicates, too. Their SimHashes
-differ in 15 % of their bits, too many for shards of equal blocks, so shards of texts with
-a common rare segment (see ``sketch``) go through BK-trees, and each text is held word by
-word against what is near it there, until it has a verified link to each class of
-texts that has one. Only verified links join classes and groups.
+differ in 15 % of their bits, beyond what trees can tell from chance, so ``setjoin``
+finds and verifies those links exactly, and they join the trees' groups.
 
 Defined cases: a null or blank text has fingerprint zero, and zero links like any
 other; repeated rows stay repeated and share a group; a null doc_id belongs to its
@@ -37,35 +35,28 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.base import discard, map_texts, shared_dir, staged
+from millrace.llm import setjoin
+from millrace.llm.base import WordHashes, discard, map_texts, signed, staged
 
 RADIUS = 2
 SEED = 42
 SHINGLE = 3
 #: Fingerprints of a shard beyond which it is dealt again by 16 more bits.
 SPLIT = 512
-#: Similarity on word shingles of this many words that makes documents near-duplicates beyond the contract's bits.
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: 64-bit words of the wide fingerprint that such documents are compared by, and the bits in which they may differ
-#: (at a similarity of 0.8 the expectation is 39 of 256 bits, the deviation 5.7).
-WIDE, NEAR_RADIUS = 4, 50
-#: Segment ends, and the lengths between which texts have both kinds (a pair's lengths are within SIMILARITY).
-COARSE, FINE, SHORT = 16, 4, (64, 80)
-#: Bits of the filter that keeps texts without candidates out of a shuffle.
-MARKS = 1 << 24
-#: Texts of a shard that meet in one task.
-CHUNK = 2_048
 #: Shingles whose bits are counted at once, so that a long text needs little memory.
 BLOCK = 65_536
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of the word shingles of a text, as an unsigned 64-bit integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return print_of(setjoin.words_of(text), shingle)
+
+
+def print_of(words: list[bytes], shingle: int = SHINGLE) -> int:
+    """``fingerprint`` of a text's words."""
     if not words:
         return 0
     if len(words) < shingle:
@@ -80,11 +71,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big")
 
 
-def signed(value: int) -> int:
-    """The same 64 bits as a two's-complement long."""
-    return value - (1 << 64) if value >> 63 else value
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long), one row per row of ``docs``."""
 
@@ -233,10 +219,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): connected components of edges (a, b); root is the least node, each root included."""
-    shared_dir(edges.sparkSession)
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = now.checkpoint(), None
+    """(node, root): connected components of edges (a, b); root is the least node, each root included.
+
+    Least neighbours are stored before they are joined, so that a node of many neighbours
+    can be split by adaptive planning.
+    """
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+    before = None
     while True:
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == before or not seen[0]:
@@ -244,19 +233,25 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
         # Large star: each node hands its least neighbour to its greater neighbours.
         both = now.union(now.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        now = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star-least")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: each node and its smaller neighbours hang from the least of them.
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        hung = now.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = hung.union(least.select("a", "m")).distinct().checkpoint()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = staged(hung.union(lowest.select("a", "m")).distinct(), "star")
+        discard(now, least)
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b"), F.col("b")).distinct()
     )
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for a stored frame of (doc_id, fp)."""
+    """doc_id, fp, component_id for a stored frame of (doc_id, fp).
+
+    What copies share is stored before it is joined with the rows, so that adaptive
+    planning can split a fingerprint that many rows have.
+    """
     groups = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-fp")
     linked = components(links(groups.select("fp")))
     member = linked.join(groups, linked.node == groups.fp).select("node", "root", "first")
@@ -267,6 +262,8 @@ def grouped(prints: DataFrame) -> DataFrame:
         .where("n > 1 or least is not null")
         .select("fp", F.coalesce("least", "first").alias("of_group"))
     )
+    shared = staged(shared, "simhash-shared")
+    discard(groups)
     return prints.join(shared, "fp", "left").select(
         "doc_id", "fp", F.coalesce("of_group", "doc_id").alias("component_id")
     )
@@ -280,253 +277,70 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
-# -- groups of similar documents -----------------------------------------------------
-
-
-def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """Hash of each word shingle; a shorter text is one shingle."""
-    if len(words) < shingle:
-        parts: Iterable[bytes] = [b" ".join(words)] if words else []
-    else:
-        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    raw = b"".join(map(partial(xxhash.xxh64_digest, seed=SEED), parts))
-    return np.frombuffer(raw, dtype=">u8").astype(np.uint64)
-
-
-def widened(hashes: np.ndarray) -> np.ndarray:
-    """Bits of each hash and of WIDE - 1 more that are mixed from it, a row a shingle."""
-    words = np.empty((len(hashes), WIDE), dtype=np.uint64)
-    words[:, 0] = mixed = hashes
-    for k in range(1, WIDE):
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        words[:, k] = mixed ^ (mixed >> np.uint64(29))
-    return np.unpackbits(words.astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
-
-
-def sketch(text: str | None) -> tuple[int, bytes, int, int, list[int]]:
-    """Contract fingerprint, wide five-word fingerprint, number of distinct five-word shingles, text hash, segments.
-
-    The wide fingerprint counts each distinct shingle once, as the similarity does that
-    is verified. Segments end at shingles whose hash ``COARSE`` divides, in texts of fewer
-    than ``SHORT[1]`` distinct shingles also those that ``FINE`` divides; a segment is known
-    by the SimHash of its shingles. Texts between the bounds of SHORT have both kinds.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    hashes = shingle_hashes(words, NEAR_SHINGLE)
-    distinct = np.unique(hashes)
-    n = len(distinct)
-    ones, segments = np.zeros(64 * WIDE, dtype=np.int64), set()
-    for at in range(0, n, BLOCK // WIDE):
-        ones += widened(distinct[at : at + BLOCK // WIDE]).sum(axis=0, dtype=np.int64)
-    for at in range(0, len(hashes), BLOCK // WIDE):  # a segment ends with its block
-        part = hashes[at : at + BLOCK // WIDE]
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        for step in [FINE] * (n < SHORT[1]) + [COARSE] * (n >= SHORT[0]):
-            starts = np.concatenate([[0], np.flatnonzero(part[:-1] % np.uint64(step) == 0) + 1])
-            sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-            sizes = np.diff(starts, append=len(part))
-            segments.update(np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").ravel().tolist())
-    near = np.packbits(2 * ones > n).tobytes()
-    whole = xxhash.xxh64_intdigest(b" ".join(words), seed=1)
-    return signed(fingerprint(text)), near, n, signed(whole), sorted(map(signed, segments))
+# -- one document of each group -------------------------------------------------------
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, near_fp, n, whole and segments of each row."""
+    """doc_id, key (a hash of the text), fp, and of its set of five-word shingles the name (node), parity sketch and prefix by hash (least)."""
 
     def make():
-        return lambda rows: [(i, *sketch(t)) for i, t in rows]
+        hashes = WordHashes()
 
-    return map_texts(docs, make, "doc_id long, fp long, near_fp binary, n long, whole long, segments array<long>")
+        def work(rows):
+            out = []
+            for doc_id, key, text in rows:
+                words = setjoin.words_of(text)
+                shingles = setjoin.shingle_set(words, hashes)
+                least = shingles[: setjoin.prefix_length(len(shingles))].view(np.int64)
+                out.append((doc_id, key, signed(print_of(words)), setjoin.name_of(shingles), setjoin.parity(shingles), least))
+            return out
 
+        return work
 
-def similar_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): verified links between texts (id, near_fp, n, segments) of those with a common rare segment.
-
-    Of each text's segments, ordered by how many texts hold them, the rarest count: so
-    many that two texts with a third of their segments in common share a counted one.
-    A shard is what counts one segment. It goes through a BK-tree as ``nearest_links``
-    tells, with the texts from ``docs``. Shards above ``CHUNK`` are dealt as chunks against
-    chunks.
-    """
-    held = texts.select("id", F.size("segments").alias("m"), F.explode("segments").alias("segment"))
-    often = held.groupBy("segment").agg(F.count("*").alias("texts"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("texts", "segment"))
-    counted = held.join(often, "segment").withColumn("rank", rank)
-    counted = counted.where((F.col("rank") <= F.col("m") - F.ceil(F.col("m") / 3) + 1) & (F.col("texts") > 1))
-    counted = staged(counted.select("id", "segment", "texts"), "simhash-counted")
-    # A filter of fixed size keeps most other texts out of the shuffle; the join decides.
-    ids = counted.select(F.col("id").alias("doc_id")).distinct()
-    needed = only_marked(docs.select("doc_id", "text"), ids).withColumnRenamed("doc_id", "id")
-    dealt = counted.join(texts.select("id", "near_fp", "n"), "id").join(needed, "id")
-    chunks = F.ceil(F.col("texts") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    # Cell (i, j): trees of chunk i (role 1) against probes of chunk j (role 2); the diagonal has both (3).
-    numbers = F.sequence(F.lit(0), F.col("chunks") - 1)
-    cell = lambda i, j, role: F.struct((i * F.col("chunks") + j).alias("cell"), role.alias("role"))
-    trees = F.transform(numbers, lambda j: cell(F.col("own"), j, F.when(j == F.col("own"), 3).otherwise(1)))
-    probes = F.transform(F.filter(numbers, lambda i: i < F.col("own")), lambda i: cell(i, F.col("own"), F.lit(2)))
-    trees = F.filter(trees, lambda c: c["cell"] % F.col("chunks") >= F.col("own"))  # each pair of chunks meets once
-    dealt = dealt.withColumn("chunks", chunks).withColumn("own", own)
-    dealt = dealt.select("segment", F.explode(F.concat(trees, probes)).alias("c"), "id", "near_fp", "n", "text")
-    dealt = dealt.select("segment", "c.cell", "c.role", "id", "near_fp", "n", "text").repartition("segment", "cell")
-    found = dealt.sortWithinPartitions("segment", "cell", "role", "id").mapInArrow(_nearest, "a long, b long")
-    links = staged(found.distinct(), "simhash-links")
-    discard(counted)
-    return links
-
-
-def _nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, rows, links = None, [], []
-    for batch in batches:
-        for segment, cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (segment, cell) != key:
-                links += nearest_links(rows)
-                key, rows = (segment, cell), []
-            rows.append(row)
-        if len(links) > 50_000:
-            yield _edges_of(links)
-            links = []
-    links += nearest_links(rows)
-    if links:
-        yield _edges_of(links)
-
-
-def _edges_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*links, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def nearest_links(rows: list[list]) -> list[tuple[int, int]]:
-    """Verified links (greater id, smaller id) of rows (role, id, near_fp, n, text), in order of their coming.
-
-    A row looks in the tree of those before it (role 2), and then enters it (role 1).
-    Verified links form classes. In each class that has members within NEAR_RADIUS bits,
-    a row is compared with one after the other, the nearest first, until one is similar
-    or none is left. So a crowd of copies gives a link a text, and no similar pair within
-    the radius stays unconnected.
-    """
-    if len(rows) < 2:
-        return []
-    tree, held, out = BKTree(), [], []
-    parent: dict[int, int] = {}
-    sets: dict[int, set[int]] = {}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def shingles(at: int) -> set[int]:
-        if at not in sets:
-            sets[at] = shingle_set(rows[at][4])
-        return sets[at]
-
-    for place, (role, this, fp, n, _) in enumerate(rows):
-        fp = int.from_bytes(fp, "big")
-        near = []
-        for node in tree.within(fp, NEAR_RADIUS):
-            distance = (tree.values[node] ^ fp).bit_count()
-            near += [
-                (distance, rows[other][1], other)
-                for other in held[node]
-                if rows[other][1] != this and min(n, rows[other][3]) >= SIMILARITY * max(n, rows[other][3])
-            ]
-        linked: dict[int, int] = {}
-        for _, name, other in sorted(near):
-            if (of := root(other)) not in linked and similar(shingles(place), shingles(other)):
-                linked[of] = other
-                out += [(max(this, name), min(this, name))] * (role >> 1)
-        if role & 1:
-            parent[place] = place
-            for of in linked:
-                parent[of] = place
-            at = tree.insert(fp)
-            if at == len(held):
-                held.append([])
-            held[at].append(place)
-        else:
-            sets.pop(place, None)
-    return out
-
-
-def only_marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of (doc_id, text) whose doc_id may be among ``ids``: those whose hash has its bit set in MARKS bits."""
-    bit = F.xxhash64("doc_id").bitwiseAND(F.lit(MARKS - 1))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
-    set_ = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toPandas()  # at most MARKS / 64 rows
-    table = np.zeros(MARKS // 64, dtype=np.uint64)
-    table[set_["word"].to_numpy()] = set_["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
-        for batch in batches:
-            at = batch.column(2).to_numpy().astype(np.uint64)
-            hit = marks[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-            yield batch.select([0, 1]).filter(pa.array(hit))
-
-    return docs.withColumn("bit", bit).mapInArrow(run, "doc_id long, text string")
-
-
-def shingle_set(text: str | None) -> set[int]:
-    """The hashes of the five-word shingles of a text."""
-    return set(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), NEAR_SHINGLE).tolist())
-
-
-def similar(a: set[int], b: set[int]) -> bool:
-    """Whether two sets have a Jaccard similarity of SIMILARITY or more."""
-    common = len(a & b)
-    return not (a or b) or common / (len(a) + len(b) - common) >= SIMILARITY
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return map_texts(keyed, make, "doc_id long, key long, fp long, node long, parity array<long>, least array<long>", ("doc_id", "key", "text"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and group: contract groups, joined further where texts are similar; the group is its least doc_id."""
+    """doc_id, key and group of each row: rows whose fingerprints link or whose texts are similar have one group.
+
+    Nodes (sets of shingles) of one fingerprint group come together first; ``setjoin`` adds
+    the links of similarity.
+    """
     prints = staged(sketches(docs), "simhash-sketch")
-    groups = staged(grouped(prints.select("doc_id", "fp")), "simhash-group")
-    texts = prints.where("doc_id is not null and n > 0").groupBy("whole", "fp", "near_fp", "n")
-    texts = staged(texts.agg(F.min("doc_id").alias("id"), F.min("segments").alias("segments")), "simhash-text")
-    links = similar_links(texts, docs)
-    of = groups.select("doc_id", "component_id").distinct()
-    named = links.join(of.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a")
-    named = named.join(of.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb")), "b")
-    roots = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    for done in (prints, texts, links):
-        discard(done)
-    found = groups.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
-    return found.select("doc_id", "fp", F.coalesce("root", "component_id").alias("group"))
+    named = components(links(prints.select("fp").distinct())).toDF("fp", "class")
+    nodes = prints.select("fp", "node").distinct().join(named, "fp", "left").select("node", F.coalesce("class", "fp").alias("class"))
+    nodes = staged(nodes.distinct(), "simhash-nodes")
+    least = nodes.groupBy("class").agg(F.min("node").alias("b"))
+    roots = staged(components(nodes.join(least, "class").select(F.col("node").alias("a"), "b")), "simhash-roots")
+    worded = prints.where(F.col("node") != setjoin.EMPTY)
+    one = F.min(F.struct("key", "parity")).alias("k")
+    keys = staged(worded.groupBy("node").agg(one).select("node", "k.*"), "simhash-keys")
+    roots = setjoin.similar_components(docs, keys, worded.select("least"), roots, components)
+    found = prints.select("doc_id", "key", "node").join(roots, "node", "left")
+    found = staged(found.select("doc_id", "key", F.coalesce("root", "node").alias("group")), "simhash-groups")
+    discard(prints, nodes, keys, roots)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of similar documents: that of the least doc_id.
+    """``docs`` with one row of each group of similar documents: that of the least doc_id, any before none.
 
-    Rows that share a doc_id, and rows without one, are told apart by fingerprint;
+    Rows that share a doc_id, and rows without one, are told apart by a hash of the text;
     of those that agree in both, the one with the least row hash stays.
     """
-    groups = staged(similar_groups(docs), "simhash-groups")
-    kept = groups.where("doc_id <=> group").select("doc_id", "fp").distinct()
+    groups = similar_groups(docs)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
+    kept = staged(first.select("f.doc_id", "f.key"), "simhash-kept")
     odd = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
     odd = staged(odd, "simhash-odd")
-    plain = docs.join(kept.join(odd, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    discard(groups)
+    plain = kept.join(odd, "doc_id", "left_anti").select("doc_id")
+    plain = docs.join(plain.where("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
     if odd.isEmpty():
         return plain
-    rest = docs.join(odd.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rest = _with_print(rest, SHINGLE).join(
-        kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_kept")),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")),
-        "left_semi",
-    )
-    first = rest.groupBy("doc_id", "_fp").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return plain.union(first.select("row.*"))
-
-
-def _with_print(docs: DataFrame, shingle: int) -> DataFrame:
-    at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField("_fp", LongType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [signed(fingerprint(t, shingle)) for t in batch.column(at).to_pylist()]
-            yield batch.append_column("_fp", pa.array(prints, type=pa.int64()))
-
-    return docs.mapInArrow(run, schema)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    rest = docs.withColumn("_text", F.xxhash64("text")).join(odd.toDF("_id"), same, "left_semi")
+    rest = rest.join(kept.toDF("_id", "_key"), same & (F.col("_text") == F.col("_key")), "left_semi")
+    one = rest.groupBy("doc_id", "_text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return plain.union(one.select("row.*"))

@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import setjoin, simhash
+from millrace.llm.base import WordHashes, signed
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -68,7 +72,7 @@ def test_groups_match_brute_force(spark):
         x = rnd.getrandbits(64)
         prints += [(i, x), (i + 1000, x ^ 1 << rnd.randrange(64))]
     prints += [(5000, 0), (5001, 0), (5002, 3), (5003, 15), (None, 0), (None, 7 << 60)]
-    frame = spark.createDataFrame([(d, simhash.signed(x)) for d, x in prints], "doc_id long, fp long").cache()
+    frame = spark.createDataFrame([(d, signed(x)) for d, x in prints], "doc_id long, fp long").cache()
     old, simhash.SPLIT = simhash.SPLIT, 20
     try:
         got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in simhash.grouped(frame).collect())
@@ -138,54 +142,118 @@ def brute_similar(texts):
 
 
 def test_similar_groups_against_brute_force(spark, monkeypatch):
-    for chunk in (2048, 8):
-        monkeypatch.setattr(simhash, "CHUNK", chunk)
-        texts = near_corpus(9, 40, 6)
-        docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
-        got = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
-        want = dict(enumerate(brute_similar(texts)))
-        assert sum(got[i] != want[i] for i in want) <= 2, [(i, got[i], want[i]) for i in want if got[i] != want[i]]
-        assert all(want[got[i]] == want[i] for i in want)  # nothing is joined that should not be
-        kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-        assert kept == {i for i in got if got[i] == i}
-
-
-def test_a_failed_candidate_does_not_hide_the_rest_of_its_class():
-    """Every pair within the radius that is similar stays connected, whatever lies nearer."""
-    rnd, rows = random.Random(12), []
-    for _ in range(25):
-        base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
-        for _ in range(12):
-            words = list(base)
-            for at in rnd.sample(range(100), rnd.randrange(1, 5)):
+    """Every group, whatever is frequent, and however runs and comparisons are dealt."""
+    texts = near_corpus(9, 40, 6)
+    want = dict(enumerate(brute_similar(texts)))
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    for frequent, block, chunk in ((32, 20_000, 1_000), (2, 3, 2)):
+        monkeypatch.setattr(setjoin, "FREQUENT", frequent)
+        monkeypatch.setattr(setjoin, "BLOCK", block)
+        monkeypatch.setattr(setjoin, "CHUNK", chunk)
+        assert {r.doc_id: r.group for r in named(simhash.similar_groups(docs))} == want
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == {i for i in want if want[i] == i}
+
+
+def named(groups):
+    """The groups with their least doc_id as name."""
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("least"))
+    return groups.join(least, "group").select("doc_id", F.col("least").alias("group")).collect()
+
+
+def chains(rnd, families, steps):
+    """Drifting versions, each similar to the one before it and not to those further off."""
+    out = []
+    for _ in range(families):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+        for _ in range(steps):
+            for at in rnd.sample(range(150), 3):
                 words[at] = f"x{rnd.randrange(10**6)}"
-            text = " ".join(words)
-            _, near, n, _, _ = simhash.sketch(text)
-            rows.append([3, len(rows), near, n, text])
-    links = simhash.nearest_links(rows)
-    sets = [simhash.shingle_set(r[4]) for r in rows]
-    prints = [int.from_bytes(r[2], "big") for r in rows]
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.NEAR_RADIUS]
-    want = [(i, j) for i, j in near if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= simhash.SIMILARITY]
-    assert len(near) > len(want) > 50
-    assert set(links) <= set(want)
-
-    def parts(edges):
-        of = list(range(len(rows)))
-        for i, j in edges:
-            old, new = of[i], of[j]
-            of = [new if x == old else x for x in of]
-        return {frozenset(k for k, x in enumerate(of) if x == y) for y in of}
-
-    assert parts(links) == parts(want)
-
-
-def test_repeated_blocks_do_not_hide_similar_texts():
-    """A text and the same with its first words twice more have nearly equal shingle sets."""
-    rnd, apart = random.Random(13), 0
-    for _ in range(30):
-        words = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
-        texts = [" ".join(words), " ".join(words + 2 * words[:20])]
-        rows = [[3, k, *simhash.sketch(t)[1:3], t] for k, t in enumerate(texts)]
-        apart += simhash.nearest_links(rows) != [(1, 0)]
-    assert not apart
+            out.append(" ".join(words))
+    rnd.shuffle(out)
+    return out
+
+
+def test_chains_and_borderline_pairs(spark):
+    rnd = random.Random(12)
+    texts = chains(rnd, 4, 30)
+    base = [f"w{k}" for k in range(104)]  # 100 shingles; five lost and five gained for each changed word
+    for changes in range(1, 6):
+        words = list(base)
+        for at in range(10, 10 + 20 * changes, 20):
+            words[at] = f"y{at}{changes}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base), " ".join(base + 2 * base[:20]), "a b c", "a b c d", "a b c", "A  B\tc"]
+    want = dict(enumerate(brute_similar(texts)))
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.group for r in named(simhash.similar_groups(docs))} == want
+
+
+def test_partners_leave_no_pair_out():
+    """Rounds over random runs compare or connect every possible pair, whatever the comparison says."""
+    rnd = random.Random(14)
+    for _ in range(200):
+        nodes = sorted(rnd.sample(range(100), rnd.randrange(2, 12)))
+        sizes = {x: rnd.choice([9, 10, 11, 20]) for x in nodes}
+        runs = [sorted(rnd.sample(nodes, rnd.randrange(2, len(nodes) + 1))) for _ in range(rnd.randrange(1, 4))]
+        spots = [{x: rnd.randrange(3) for x in run} for run in runs]
+        alike = {(a, b): rnd.random() < 0.2 for a in nodes for b in nodes if b < a}
+        possible = set()
+        for run, at in zip(runs, spots, strict=True):
+            for i, b in enumerate(run):
+                for a in run[i + 1 :]:
+                    n, m = sizes[a], sizes[b]
+                    if 5 * min(n, m) >= 4 * max(n, m) and 9 * min(n - at[a], m - at[b]) >= 4 * (n + m):
+                        possible.add((a, b))
+        root, failed, compared, most = {x: x for x in nodes}, {}, set(), 1
+        while True:
+            ids = np.array([k for k, run in enumerate(runs) for _ in run])
+            node = np.array([x for run in runs for x in run])
+            place = np.array([sizes[x] << 32 | at[x] for run, at in zip(runs, spots, strict=True) for x in run])
+            found = setjoin.partners(ids, node, place, np.array([root[x] for x in node.tolist()]), np.zeros((len(node), 8), dtype=np.int64), failed, most)
+            pairs, most = {(int(node[k]), int(node[p])) for k, p in zip(*found, strict=True)}, most * 2
+            if not pairs:
+                break
+            assert pairs <= possible and not pairs & compared
+            compared |= pairs
+            for a, b in pairs:
+                if alike[a, b]:
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = {x: new if r == old else r for x, r in root.items()}
+                else:
+                    failed.setdefault(a, set()).add(b)
+        assert all((a, b) in compared or root[a] == root[b] for a, b in possible)
+
+
+def test_batches_cut_anywhere_give_the_same_runs():
+    rnd = random.Random(15)
+    rows = sorted((rnd.randrange(12), rnd.randrange(6), 9 << 32) for _ in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["shingle", "node", "place"])
+    distinct = sorted(set(rows))
+    want = [r for r in distinct if sum(r[0] == o[0] for o in distinct) > 1]
+    for _ in range(50):
+        cuts = sorted({0, 60, *(rnd.randrange(60) for _ in range(rnd.randrange(12)))})
+        parts = [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        got = [tuple(r.values()) for b in setjoin._shared(iter(parts)) for r in b.to_pylist()]
+        assert got == want
+        tables = [t.to_pylist() for t in setjoin._whole_runs(iter(parts))]
+        assert [tuple(r.values()) for t in tables for r in t] == rows
+        keys = [{(r["shingle"], r["node"]) for r in t} for t in tables]
+        assert all(not a & b for i, a in enumerate(keys) for b in keys[:i])
+
+
+def test_sets():
+    hashes = WordHashes()
+    of = lambda t: setjoin.shingle_set(setjoin.words_of(t), hashes)
+    assert len(of("a b c d e f")) == 2 and len(of("a b")) == 1 and len(of(None)) == 0
+    assert setjoin.name_of(of("a b c d e a b c d e")) == setjoin.name_of(of("A b c d e  a b c d e a b c d e"))
+    assert setjoin.name_of(of("")) == setjoin.EMPTY
+    one, two = of("a b c d e f g h i j"), of("a b c d e f g h x j")
+    apart = sum((x ^ y).bit_count() for x, y in zip(*(setjoin.parity(s).view(np.uint64).tolist() for s in (one, two)), strict=True))
+    assert 0 < apart <= len(np.setxor1d(one, two)) and apart % 2 == len(np.setxor1d(one, two)) % 2
+    # Linked sets always meet in their prefixes: the shared part cannot avoid both.
+    for n in range(1, 60):
+        for m in range(n, 60):
+            least = next((c for c in range(n + 1) if setjoin.linked(c, n, m)), None)
+            if least is not None:
+                assert setjoin.prefix_length(n) > n - least and setjoin.prefix_length(m) > m - least
