@@ -274,6 +274,7 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
 
 def _coded(tokens: DataFrame, rank_of: np.ndarray, dtype: np.dtype, tops: list[tuple[int, int]]) -> DataFrame:
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(2).to_pylist()
@@ -360,6 +361,7 @@ def read(blocks: DataFrame, book: DataFrame) -> DataFrame:
     ids_of = np.array([r.id for r in book.orderBy("rank").collect()] or [0], dtype="<u4")  # vocabulary-sized
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for batch in batches:
             for block in (batch.slice(i, 1) for i in range(batch.num_rows)):
                 part, start, doc_ids, lengths, control, data = (c[0].as_py() for c in block.columns)
