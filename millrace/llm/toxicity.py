@@ -25,6 +25,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ TRAIN_ROWS = 12_000
 #: Most features that get a weight, and documents of the sample that must have such a feature.
 VOCABULARY, MIN_DOCUMENTS = 2_000, 8
 THRESHOLD = 0.5
+#: Documents as sentences of word numbers.
+BAGS = pa.list_(pa.list_(pa.int32()))
 STEPS, RATE, PENALTY = 400, 0.1, 1e-5
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -101,10 +104,15 @@ def fit(bags: list[list[list[int]]], empty: np.ndarray, labels: np.ndarray, star
 
     ``empty``: sentences of each document without a known word; ``start``: first weights.
     """
-    doc = np.array([d for d, bag in enumerate(bags) for _ in bag], dtype=np.int64)
-    flat = [s for bag in bags for s in bag]
-    row = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-    word = np.array([w for s in flat for w in s], dtype=np.int64)
+    return descend(pa.array(bags, BAGS), empty, labels, start)
+
+
+def descend(bags: pa.ListArray, empty: np.ndarray, labels: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """``fit`` for an Arrow column of documents, so that no word is a Python object."""
+    flat = bags.flatten()
+    doc = np.repeat(np.arange(len(bags)), bags.value_lengths().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(flat)), flat.value_lengths().to_numpy(zero_copy_only=False))
+    word = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     weights, bias = start.astype(float).copy(), -5.0
     state = np.zeros((2, len(weights) + 1))
     n = len(labels)
@@ -184,8 +192,9 @@ def _trained(labelled: DataFrame) -> Model:
 
     # One row for each of at most `rows` documents, as the numbers of known words only.
     coded = map_texts(labelled, encode, "doc_id long, toxic int, bag array<array<int>>, empty long", ("doc_id", "text", "toxic"))
-    bags = sorted(coded.collect(), key=lambda r: r.doc_id)
-    weights, bias = fit([r.bag for r in bags], np.array([r.empty for r in bags]), np.array([r.toxic for r in bags]), np.clip(odds, -3, 3))
+    bags = coded.toArrow().sort_by("doc_id").combine_chunks()
+    empty, marks = (bags[c].to_numpy() for c in ("empty", "toxic"))
+    weights, bias = descend(bags["bag"].combine_chunks().cast(BAGS), empty, marks, np.clip(odds, -3, 3))
     return Model({w: float(weights[i]) for w, i in number.items()}, float(bias))
 
 

@@ -134,3 +134,19 @@ def test_fit_and_score_against_plain_noisy_or():
     sentence = lambda n: 1 / (1 + np.exp(-(bias + n * weights[0])))
     want = 1 - (1 - sentence(1)) * (1 - sentence(0)) * (1 - sentence(1)) * (1 - sentence(0))
     assert abs(judge(text)[0] - want) < 1e-9
+
+
+def test_training_documents_reach_the_driver_as_arrow(spark, monkeypatch):
+    """The word numbers of the training documents, nested lists, are never collected as Python objects."""
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 50 < 20 else 'fine'} text number {i}. More.", "c") for i in range(100)], DOC)
+    labels = spark.createDataFrame([(i, 1, int(i % 50 < 20)) for i in range(100)], LABEL)
+    kind, asked = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: asked.append(self.columns) or collect(self))
+    model = toxicity.train(docs, labels)
+    assert model.fitted and model.weights["bad"] > 0 > model.weights["fine"]
+    assert asked and not any("bag" in columns for columns in asked)
+    bags, labels = [[[0, 1], []], [], [[2]]], np.array([1, 0, 0])
+    given = toxicity.descend(toxicity.pa.array([[[9]], *bags], toxicity.BAGS)[1:], np.zeros(3), labels, np.zeros(3))
+    plain = toxicity.fit(bags, np.zeros(3), labels, np.zeros(3))
+    assert np.array_equal(given[0], plain[0]) and given[1] == plain[1]

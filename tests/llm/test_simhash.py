@@ -106,6 +106,28 @@ def test_chain_components(spark):
     assert len({got[name[i]] for i in (100, 101, 102)}) == 1
 
 
+def test_components_step_only_while_edges_are_no_stars(spark, monkeypatch):
+    """Stars around their least nodes are stored once and left; random graphs match a union-find."""
+    made, stored = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, label: made.append(label) or stored(df, label))
+    stars = [(i, 1 + i % 2) for i in range(3, 40)] + [(5, 5)]
+    for edges in (stars, [(b, a) for a, b in stars], []):
+        made.clear()
+        got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == ({i: 1 + i % 2 for i in range(3, 40)} | {1: 1, 2: 2} if edges else {})
+        assert made == ["star"]
+    for seed in range(4):
+        rnd = random.Random(seed)
+        edges = [(rnd.randrange(-20, 40), rnd.randrange(-20, 40)) for _ in range(12 + 10 * seed)]
+        root = {x: x for e in edges for x in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        rows = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        apart = {x for e in edges for x in e if e[0] != e[1]}
+        assert sorted((r.node, r.root) for r in rows) == sorted((x, root[x]) for x in apart)
+
+
 def near_corpus(seed, families, copies):
     """Texts with copies in which one word of forty or so is changed, all with a shared passage."""
     rnd = random.Random(seed)
