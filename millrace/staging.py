@@ -35,11 +35,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back.
 
     This cuts the lineage and survives the loss of executors; the files go with
-    ``discard``, or with the cluster's own cleaning of the checkpoint folder.
+    ``discard``, or with the cluster's own cleaning of the checkpoint folder. No
+    ``_SUCCESS`` file is written: only this session reads the files, after the write, and
+    on a local file system without native code each file costs two started processes.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # noqa: SLF001
     return out

@@ -1,6 +1,7 @@
 """SimHash groups against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,15 @@ def test_components_step_only_while_edges_are_no_stars(spark, monkeypatch):
         assert sorted((r.node, r.root) for r in rows) == sorted((x, root[x]) for x in apart)
 
 
+def test_staged_tables_are_only_their_rows(spark):
+    """No marker file beside the rows: on a local file system each costs two processes that the driver starts."""
+    frame = simhash.staged(spark.range(10).toDF("a"), "test-marker")
+    assert sorted(r.a for r in frame.collect()) == list(range(10))
+    names = {p.name.split("-")[0] for p in Path(frame._staged_path.removeprefix("file:")).iterdir()}
+    assert names == {"part", ".part"}
+    simhash.discard(frame)
+
+
 def near_corpus(seed, families, copies):
     """Texts with copies in which one word of forty or so is changed, all with a shared passage."""
     rnd = random.Random(seed)
